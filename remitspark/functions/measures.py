@@ -1,62 +1,60 @@
-"""Aggregate and ratio columns with exact decimal rounding.
+"""Aggregate and ratio expressions with exact decimal rounding.
 
-Counts and money are summed exactly (integers, decimals); a rate is one decimal division,
-rounded half up. Doubles are only produced by the caller, at the very end.
+All helpers take and return SQL text, so a whole aggregation is a handful of parsed expressions.
+Counts and money are summed exactly (integers, decimals); a rate is one decimal division, rounded
+half up. Doubles are only produced by the caller, at the very end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COUNT = "decimal(20,0)"
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def count_where(condition: Column | str) -> Column:
-    return F.count_if(col(condition))
-
-
-def ratio(numerator: Column, denominator: Column, digits: int | None = 4) -> Column:
+def ratio(numerator: str, denominator: str, digits: int | None = 4) -> str:
     """numerator / denominator, null when the denominator is zero or null."""
-    value = numerator / F.nullif(denominator, F.lit(0))
-    return value if digits is None else F.round(value, digits)
+    value = f"({numerator}) / nullif({denominator}, 0)"
+    return value if digits is None else f"round({value}, {digits})"
 
 
-def count_ratio(numerator: Column, denominator: Column, digits: int | None = 4) -> Column:
-    return ratio(numerator.cast(COUNT), denominator.cast(COUNT), digits)
+def count_ratio(numerator: str, denominator: str, digits: int | None = 4) -> str:
+    return ratio(f"cast({numerator} as {COUNT})", f"cast({denominator} as {COUNT})", digits)
 
 
-def rate_where(condition: Column | str, digits: int = 4) -> Column:
+def rate_where(condition: str, digits: int = 4) -> str:
     """Share of all rows of the group for which ``condition`` is true (null counts as false)."""
-    return count_ratio(count_where(condition), F.count(F.lit(1)), digits)
+    return count_ratio(f"count_if({condition})", "count(1)", digits)
 
 
-def rate_among(condition: Column | str, base: Column | str, digits: int = 4) -> Column:
-    return count_ratio(count_where(col(condition) & col(base)), count_where(base), digits)
+def rate_among(condition: str, base: str, digits: int = 4) -> str:
+    return count_ratio(f"count_if(({condition}) and ({base}))", f"count_if({base})", digits)
 
 
-def money_sum(c: Column | str, digits: int = 2) -> Column:
-    return F.round(F.sum(col(c)), digits)
+def money_sum(column: str, digits: int = 2) -> str:
+    return f"round(sum({column}), {digits})"
 
 
-def money_sum_or_zero(c: Column | str, digits: int = 2) -> Column:
-    return F.round(F.coalesce(F.sum(col(c)), F.lit(0)), digits)
+def money_sum_or_zero(column: str, digits: int = 2) -> str:
+    return f"round(coalesce(sum({column}), 0), {digits})"
 
 
-def mean_of(c: Column | str, digits: int = 1) -> Column:
+def mean_of(column: str, digits: int = 1) -> str:
     """Mean of an integer or decimal column over its non-null rows, rounded exactly."""
-    return ratio(F.sum(col(c)).cast("decimal(28,4)"), F.count(col(c)).cast(COUNT), digits)
+    return ratio(f"cast(sum({column}) as decimal(28,4))", f"cast(count({column}) as {COUNT})", digits)
 
 
-def decimals_to_double(df):
+def decimals_to_double(df: DataFrame) -> DataFrame:
     """Cast every decimal column to double (the shape plotting and hashing tools expect)."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(f"`{name}`").cast("double").alias(name) if kind.startswith("decimal") else F.col(f"`{name}`")
+            f"cast(`{name}` as double) as `{name}`" if kind.startswith("decimal") else f"`{name}`"
             for name, kind in df.dtypes
         ]
     )
+
+
+def grouped(df: DataFrame, keys: list[str], **measures: str) -> DataFrame:
+    """``df.groupBy(keys)`` with named SQL aggregates."""
+    return df.groupBy(*keys).agg(*[F.expr(f"{sql} as `{name}`") for name, sql in measures.items()])

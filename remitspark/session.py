@@ -14,6 +14,7 @@ def build_session(app: str = "remitspark", cores: int | str = "*", **overrides:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **overrides,
