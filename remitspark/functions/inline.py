@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def literal(v: object) -> str:
+    """SQL text of a Python constant."""
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def values_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A local relation from literal rows (numbers, text, booleans, dates as text, None)."""
-    fields = T.StructType.fromDDL(schema).fields
+    struct = T.StructType.fromDDL(schema)
     if not rows:
-        return spark.createDataFrame([], T.StructType(fields))
-    literals = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*literals)))
+        return spark.createDataFrame([], struct)
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    raw = ", ".join(f"`{f.name}`" for f in struct.fields)
+    typed = ", ".join(f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`" for f in struct.fields)
+    return spark.sql(f"select {typed} from values {body} as t({raw})")

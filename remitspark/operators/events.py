@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
+from .ordering import number_in_group
 
 
 def strongest_contributor(contributions: Mapping[str, str], fallback: str = "baseline") -> str:
@@ -20,8 +21,8 @@ def strongest_contributor(contributions: Mapping[str, str], fallback: str = "bas
 
 
 def number_events(events: DataFrame, case: str, order_by: Sequence[Column | str], out: str = "event_seq") -> DataFrame:
-    """1..n inside each case. A case is one claim's handling, so its size is its own history."""
-    return events.withColumn(out, F.row_number().over(Window.partitionBy(case).orderBy(*order_by)))
+    """1..n inside each case, also when one case holds very many events."""
+    return number_in_group(events, [case], order_by, out)
 
 
 def event_timestamp(date: Column, seq: Column, start_hour: int = 7, step_minutes: int = 45) -> Column:
@@ -61,9 +62,12 @@ def timeline_to_events(
 
 
 def not_increasing(events: DataFrame, case: str, seq: str, ts: str) -> DataFrame:
-    """Events whose timestamp is not later than the one before them in their case."""
-    w = Window.partitionBy(case).orderBy(seq)
-    return events.withColumn("_prev", F.lag(ts).over(w)).where(F.col(ts) <= F.col("_prev")).drop("_prev")
+    """Events whose timestamp is not later than that of the event numbered one less in their case.
+
+    Neighbours meet by (case, number), so a long case is spread over all tasks.
+    """
+    before = events.selectExpr(case, f"{seq} + 1 as {seq}", f"{ts} as _prev")
+    return events.join(before, [case, seq]).where(F.col(ts) <= F.col("_prev")).select(*events.columns)
 
 
 def sequence_gaps(events: DataFrame, case: str, seq: str) -> DataFrame:
@@ -82,16 +86,16 @@ def totals_before_boundary(
 ) -> DataFrame:
     """Per case: minutes and elapsed hours over events at or before its first boundary event.
 
-    The boundary is found by a window over the case, so events are shuffled once and only events
-    the boundary allows are ever summed.
+    Events meet a one-row-per-case boundary table, are filtered, and only then summed. The sum
+    combines before the shuffle and the join may split a hot case.
     """
-    w = Window.partitionBy(case)
-    bounded = events.withColumn("_until", F.min(F.when(F.col(kind) == boundary, F.col(ts))).over(w)).where(
-        F.col(ts) <= F.col("_until")
+    until = (
+        events.where(F.col(kind) == boundary).groupBy(case).agg(F.expr(f"min({ts}) as _until"))
     )
-    micros = F.unix_micros(F.max("_until").cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))
-    return bounded.groupBy(case).agg(
-        F.sum(minutes).alias("touch_minutes"), (micros / F.lit(3_600_000_000.0)).alias("elapsed_hours")
+    allowed = events.select(case, ts, minutes).join(until, case).where(F.col(ts) <= F.col("_until"))
+    span = f"unix_micros(cast(max(_until) as timestamp)) - unix_micros(cast(min({ts}) as timestamp))"
+    return allowed.groupBy(case).agg(
+        F.expr(f"sum({minutes}) as touch_minutes"), F.expr(f"({span}) / 3600000000D as elapsed_hours")
     )
 
 
@@ -178,4 +182,6 @@ def operating_costs(pivoted: DataFrame, hourly_rates: Mapping[str, str], per_eve
 def activity_shares(events: DataFrame, activity: str) -> DataFrame:
     counts = events.groupBy(activity).agg(F.count(F.lit(1)).alias("events"))
     total = counts.agg(F.sum("events").alias("n"))
-    return counts.withColumn("share", m.count_ratio(F.col("events"), total.scalar(), 6))
+    return counts.withColumn("_t", total.scalar()).selectExpr(
+        activity, "events", f"{m.count_ratio('events', '_t', 6)} as share"
+    )

@@ -120,6 +120,19 @@ def running_totals(
     return joined.select(*keep, *out)
 
 
+def number_in_group(
+    df: DataFrame, group: Sequence[str], order_by: Sequence[Column | str], name: str, partitions: int | None = None
+) -> DataFrame:
+    """1..n inside each group, however many rows one group holds.
+
+    Rows get a global position in (group, order); the group's first position is then subtracted.
+    A group that spans many range partitions is numbered by all of them.
+    """
+    placed = with_position(df, [*group, *order_by], "_gpos", partitions)
+    starts = placed.groupBy(*group).agg(F.expr("min(_gpos) as _gfirst"))
+    return placed.join(starts, list(group)).selectExpr(*df.columns, f"_gpos - _gfirst + 1 as {name}")
+
+
 def mid_ranks(df: DataFrame, value: str, partitions: int | None = None) -> DataFrame:
     """Average rank of every distinct value: (value, ties, mid_rank)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
