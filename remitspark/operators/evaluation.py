@@ -27,13 +27,17 @@ from .ordering import (
 )
 
 
-def score_table(df: DataFrame, y: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Rows merged to (groups…, score): n, pos, and their totals over all higher scores."""
-    per = df.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(
+def score_counts(df: DataFrame, y: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Rows merged to (groups…, score): n rows, pos positives."""
+    return df.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(
         F.expr("count(1) as n"), F.expr(f"sum(cast({y} as bigint)) as pos")
     )
+
+
+def counts_above(counts: DataFrame, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Score counts with the rows and positives at all higher scores."""
     return running_totals(
-        per,
+        counts,
         [F.col(score).desc(), *groups],
         {"n_above": F.col("n"), "pos_above": F.col("pos")},
         groups,
@@ -47,13 +51,15 @@ def ranking_metrics(df: DataFrame, y: str, score: str, groups: Sequence[str] = (
     ROC-AUC counts tied pairs half; PR-AUC is average precision with one step per distinct score.
     Both are null where a group has only one class.
     """
-    table = score_table(df, y, score, groups)
-    sums = table.groupBy(*groups).agg(
+    return metrics_from_counts(score_counts(df, y, score, groups), score, groups)
+
+
+def metrics_from_counts(counts: DataFrame, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    sums = counts_above(counts, score, groups).groupBy(*groups).agg(
         F.expr("sum(n) as n"),
         F.expr("sum(pos) as positives"),
-        F.expr(
-            "sum(cast(n - pos as decimal(38,0)) * (2 * pos_above + pos)) as doubled_wins"
-        ),
+        # twice the won pairs, as an exact integer
+        F.expr("sum(cast(n - pos as decimal(18,0)) * cast(2 * pos_above + pos as decimal(19,0))) as doubled_wins"),
         F.expr("sum(if(pos > 0, pos * (cast(pos_above + pos as double) / (n_above + n)), 0D)) as ap_sum"),
         F.expr(f"sum(pos * power({score} - 1D, 2) + (n - pos) * power({score}, 2)) as sq"),
         F.expr(f"sum(n * {score}) as score_sum"),

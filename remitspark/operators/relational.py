@@ -20,8 +20,9 @@ def aggregate_then_join(
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add every column of a one-row aggregate to all rows, as scalar subqueries."""
-    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    """Add every column of a one-row aggregate to all rows, as one scalar subquery."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("s"))
+    return df.withColumn("_one", packed.scalar()).select(*df.columns, "_one.*")
 
 
 def describe_codes(df: DataFrame, codes: DataFrame, code: str, text: str, columns: Mapping[str, str]) -> DataFrame:

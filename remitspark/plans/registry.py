@@ -7,21 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.measures import decimals_to_double
-from . import oracle_views, queries_views
+from . import oracle_data, oracle_views, queries_data, queries_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for module in (queries_views,):
+    for module in (queries_views, queries_data):
         out.update({name: _plain(fn) for name, fn in module.QUERIES.items()})
     return out
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for module in (oracle_views,):
+    for module in (oracle_views, oracle_data):
         out.update(module.SQL)
     return out
 

@@ -270,3 +270,14 @@ def appeals(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"if(is_final, {money('allowed_u')}, cast(0 as {MONEY})) as sim_appeal_recovered_amount",
         )
     )
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflow events: one case per user and day."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat(user_id, '-', date_format(ts, 'yyyyMMdd')) as case_id",
+        "event_id",
+        "ts",
+        "event_type",
+        "cast(value as decimal(12,2)) as minutes",
+    )
