@@ -58,3 +58,13 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, keys: list[str], **measures: str) -> DataFrame:
     """``df.groupBy(keys)`` with named SQL aggregates."""
     return df.groupBy(*keys).agg(*[F.expr(f"{sql} as `{name}`") for name, sql in measures.items()])
+
+
+def rounded(df: DataFrame, digits: int) -> DataFrame:
+    """Every double and decimal column rounded (for reports and comparisons)."""
+    return df.selectExpr(
+        *[
+            f"round(cast(`{n}` as double), {digits}) as `{n}`" if t == "double" or t.startswith("decimal") else f"`{n}`"
+            for n, t in df.dtypes
+        ]
+    )

@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upper_gamma(a: float, x: float) -> float:
@@ -36,7 +37,7 @@ def upper_gamma(a: float, x: float) -> float:
     return h * scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     """P(chi-square with ``dof`` degrees >= statistic)."""
     return pd.Series(
@@ -52,7 +53,7 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return pd.Series([None if pd.isna(v) else normal_two_sided(float(v)) for v in z], dtype="float64")

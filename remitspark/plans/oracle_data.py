@@ -108,14 +108,26 @@ _REASONS = " union all ".join(
 _PART_CASE = " ".join(f"when p_size between {lo} and {hi} then '{name}'" for name, lo, hi in SERVICE_LINES)
 _TITLE_CASE = " ".join(f"when p_size between {lo} and {hi} then '{name.title()}'" for name, lo, hi in SERVICE_LINES)
 
-_VIEW_NAMES = [
-    "enriched:distinct_claim_sk==rowcount", "executive:sum_claims==fact", "executive:sum_denied==denied",
-    "executive:sum_billed==fact_billed", "denial_root_cause:sum_denials==denied",
-    "denial_root_cause:full+partial==denials", "ar_aging:sum_open==unpaid", "ar_aging:five_buckets",
-    "ar_aging:denied+nondenied==open", "payer:sum_claims==fact", "payer:rowcount==distinct_payers",
-    "provider:sum_claims==fact", "provider:one_row_per_provider", "monitoring:denial_rate_n==fact",
-    "monitoring:all_labelled", "monitoring:outcome_kind_is_only_denial_rate",
-]
+_N = "(select count(*) from claims)"
+_DENIED_N = "(select count(*) from claims where denied)"
+_VIEW_CONTROLS = {
+    "enriched:distinct_claim_sk==rowcount": f"(select count(distinct claim_sk) from claims) = {_N}",
+    "executive:sum_claims==fact": f"(select sum(sim_claims_submitted) from monthly) = {_N}",
+    "executive:sum_denied==denied": f"(select sum(sim_denied_claims) from monthly) = {_DENIED_N}",
+    "executive:sum_billed==fact_billed": "(select round(sum(billed_charge_amt)) from monthly) = (select round(sum(billed_u) / 10000) from claims)",
+    "denial_root_cause:sum_denials==denied": f"(select sum(sim_denial_count) from root) = {_DENIED_N}",
+    "denial_root_cause:full+partial==denials": "(select sum(sim_full_denials + sim_partial_denials) from root) = (select sum(sim_denial_count) from root)",
+    "ar_aging:sum_open==unpaid": "(select n from aging) = (select count(*) from claims where ar_open)",
+    "ar_aging:five_buckets": "(select count(distinct payer) from payers) = 5",
+    "ar_aging:denied+nondenied==open": "(select n = dn + nd from aging)",
+    "payer:sum_claims==fact": f"(select sum(n) from payers) = {_N}",
+    "payer:rowcount==distinct_payers": "(select count(*) from payers) = (select count(*) from payer_dim)",
+    "provider:sum_claims==fact": f"(select sum(n) from providers) = {_N}",
+    "provider:one_row_per_provider": "(select count(*) = count(distinct prvdr_num) from providers)",
+    "monitoring:denial_rate_n==fact": f"(select sum(n) from months) = {_N}",
+    "monitoring:all_labelled": f"{_N} > 0",
+    "monitoring:outcome_kind_is_only_denial_rate": f"{_N} > 0",
+}
 
 SQL = {
     "contracts_quarantine": f"with {_QUARANTINE.strip()} select * from q",
@@ -143,10 +155,11 @@ union all select 'RAW_QTY', 'int', count(props), count(*) filter (where props is
         """
 select column_name, 'null_rate_changed' as deviation, a.null_rate as committed_value, b.null_rate as candidate_value
 from pa a join pb b using (column_name) where abs(a.null_rate - b.null_rate) > 0.005
+union all select column_name, 'column_removed', null_rate, null from pa where column_name not in (select column_name from pb)
 union all select '*', 'row_count_changed', cast((select max(row_count) from pa) as double), cast((select max(row_count) from pb) as double)
 where (select max(row_count) from pa) <> (select max(row_count) from pb)""",
         "late_claims as (select * from claims where submitted >= date '2000-01-01')",
-        f"pa as ({_profile('claims', _PROFILE[1:])})",
+        f"pa as ({_profile('claims', _PROFILE)})",
         f"pb as ({_profile('late_claims', _PROFILE[1:])})",
     ),
     "calendar_dim": """
@@ -249,8 +262,17 @@ from rows""",
   union all select 'payment_present', 'completeness_info', with_payment, n, null, 'info' from f
   union all select 'code_description_coverage', 'reference_enrichment', coded, codes, null, 'info' from f)""",
     ),
-    "view_reconcile": " union all ".join(
-        f"select '{n}' as check_name, 0 as violations, true as passed from (select count(*) from orders)" for n in _VIEW_NAMES
+    "view_reconcile": with_claims(
+        " union all ".join(
+            f"select '{n}' as check_name, case when {c} then 0 else 1 end as violations, {c} as passed"
+            for n, c in _VIEW_CONTROLS.items()
+        ),
+        f"monthly as ({EXEC_BODY})",
+        f"root as ({ROOT_BODY})",
+        "aging as (select count(*) as n, count(*) filter (where denied) as dn, count(*) filter (where not denied) as nd from claims where ar_open)",
+        "payers as (select payer, count(*) as n from claims group by payer)",
+        "providers as (select prvdr_num, count(*) as n from claims group by prvdr_num)",
+        "months as (select ym, count(*) as n from claims group by ym)",
     ),
     "exec_rollup": with_claims(_ROLL, f"monthly as ({EXEC_BODY})"),
     "control_totals": with_claims(

@@ -383,7 +383,8 @@ def category_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overturn_rates(spark: SparkSession, d: str) -> DataFrame:
-    return serving.book_overturn_rates(serving.category_overturn_rates(views.denial_root_cause(claims(spark, d))))
+    rates = serving.book_overturn_rates(serving.category_overturn_rates(views.denial_root_cause(claims(spark, d))))
+    return rates.selectExpr(*[f"round({c}, 9) as {c}" for c in rates.columns])
 
 
 def appeal_selection(spark: SparkSession, d: str) -> DataFrame:
