@@ -7,21 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.measures import decimals_to_double
-from . import oracle_data, oracle_time, oracle_views, queries_data, queries_time, queries_views
+from . import (
+    oracle_data,
+    oracle_models,
+    oracle_time,
+    oracle_views,
+    queries_data,
+    queries_models,
+    queries_time,
+    queries_views,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for module in (queries_views, queries_data, queries_time):
+    for module in (queries_views, queries_data, queries_time, queries_models):
         out.update({name: _plain(fn) for name, fn in module.QUERIES.items()})
     return out
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for module in (oracle_views, oracle_data, oracle_time):
+    for module in (oracle_views, oracle_data, oracle_time, oracle_models):
         out.update(module.SQL)
     return out
 
