@@ -113,10 +113,17 @@ def fit_preprocessor(fit_rows: DataFrame, spec: FeatureSpec, min_frequency: int
         frequent = values_frame(fit_rows.sparkSession, [], "feature string, level string")
     prep = Preprocessor(spec, medians, indicators, scale, modes, frequent)
     stages = []
-    for c in categorical:
-        stages += [
-            StringIndexer(inputCol=f"_c_{c}", outputCol=f"_i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_v_{c}", dropLast=True, handleInvalid="keep"),
+    if categorical:
+        indexed = [f"_i_{c}" for c in categorical]
+        # one indexer for all columns: their labels come from one job
+        stages = [
+            StringIndexer(
+                inputCols=[f"_c_{c}" for c in categorical], outputCols=indexed, handleInvalid="keep",
+                stringOrderType="alphabetAsc",
+            ),
+            OneHotEncoder(
+                inputCols=indexed, outputCols=[f"_v_{c}" for c in categorical], dropLast=True, handleInvalid="keep"
+            ),
         ]
     inputs = (
         [f"_n_{c}" for c in numeric] + [f"_m_{c}" for c in indicators] + [f"_b_{c}" for c in boolean]
@@ -126,19 +133,20 @@ def fit_preprocessor(fit_rows: DataFrame, spec: FeatureSpec, min_frequency: int
     shaped = prep._columns(fit_rows)
     prep.stages = Pipeline(stages=stages).fit(shaped)
     owners = [*numeric, *indicators, *boolean]
-    for i, c in enumerate(categorical):
-        # one slot per label plus the slot for unseen values
-        owners += [c] * (len(prep.stages.stages[2 * i].labels) + 1)
+    if categorical:
+        for c, labels in zip(categorical, prep.stages.stages[0].labelsArray):
+            # one slot per label plus the slot for unseen values
+            owners += [c] * (len(labels) + 1)
     prep.owners = owners
     return prep
 
 
-def fit_logistic(rows: DataFrame, label: str, c: float = 1.0, max_iter: int = 200) -> Model:
+def fit_logistic(rows: DataFrame, label: str, c: float = 1.0, max_iter: int = 100) -> Model:
     """L2 logistic regression; the penalty is 1/(C*n) because Spark averages the loss."""
     n = rows.count()
     data = rows.withColumn("_label", F.col(label).cast("double"))
     return LogisticRegression(
-        labelCol="_label", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9
+        labelCol="_label", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-7
     ).fit(data)
 
 
