@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_long
 from ..functions.inline import values_frame
+from ..session import pin
 from .ordering import (
     _PART,
     equal_count_bin,
@@ -146,6 +147,7 @@ def threshold_grid(df: DataFrame, y: str, score: str, amount: str, candidates: i
     Each distinct score finds the highest candidate at or below it by binary search; of the scores
     of one candidate the lowest one flags the most. The last steps run over the candidates only.
     """
+    df = pin(df.select(y, score, amount))
     grid = sorted(set(quantile_scalars(df, score, [i / (candidates - 1) for i in range(candidates)]).values()))
     per = _per_score(df, y, score, amount).withColumn("_s", F.col(score).cast("double"))
     met = Bucketizer(splits=[float("-inf"), *grid, float("inf")], inputCol="_s", outputCol="_k").transform(per)

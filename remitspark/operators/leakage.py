@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fold
 from ..functions.inline import literal
+from ..session import pin
 from .evaluation import metrics_from_counts
 from .ordering import exact_quantiles, mid_ranks
 
@@ -78,6 +79,8 @@ def dependency(
     All pairs are counted in one aggregation; levels are few, so partial counts leave each task as
     at most pairs x levels rows. Date against date is skipped, row-unique forbidden columns too.
     """
+    # several passes follow; the named columns are written once instead of being derived each time
+    df = pin(df.select(*dict.fromkeys([*features, *forbidden])))
     counts = distinct_counts(df, list(forbidden))
     usable = [c for c in forbidden if counts[c][1] / max(1, counts[c][0]) < KEY_RATIO]
     kinds = dict(df.dtypes)
@@ -132,6 +135,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def identifier_findings(df: DataFrame, features: Sequence[str], key: str, threshold: float = 0.99) -> DataFrame:
     """Row-unique features that rise or fall with the surrogate key: (feature, rho)."""
+    df = pin(df.select(*dict.fromkeys([key, *features])))
     kinds = dict(df.dtypes)
     found = [c for c in row_keys(df, features) if _is_numeric(kinds[c])]
     out = df.sparkSession.createDataFrame([], "feature string, rho double")
@@ -148,6 +152,7 @@ def feature_auc(
     Numbers rank as they are (null at the median); categories are scored by the positive rate of
     the other folds, worked out on (feature, level, fold) counts so no row is joined.
     """
+    df = pin(df.select(*dict.fromkeys([key, y, *numeric, *categorical])))
     counts = None
     if numeric:
         medians = exact_quantiles(long_numbers(df, numeric), "value", [0.5], ["feature"]).selectExpr(

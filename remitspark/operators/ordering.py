@@ -171,39 +171,43 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles as rows (groups…, probability, quantile).
 
-    Equal values are merged into counts first; the two neighbouring order statistics are then
-    picked by cumulative count, so no task ever holds all values of a group.
+    Equal values are merged into counts and put in order over range partitions. From the partition
+    totals it is known which partitions hold a wanted order statistic; only the rows of those
+    partitions are numbered, and no task ever holds all values of a group.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    upto = running_totals(counts, [value, *groups], {"_upto": F.col("_n")}, groups, partitions)
-    rows = counts.groupBy(*groups).agg(F.sum("_n").alias("_rows"))
-
-    def neighbours(p: Column) -> Column:
-        h = (F.col("_rows") - 1) * p
-        return F.transform(
-            F.array_distinct(F.array(F.floor(h), F.ceil(h))),
-            lambda r: F.struct(p.alias("probability"), (F.lit(1.0) - F.abs(h - r)).alias("weight"), (r + 1).alias("rank")),
-        )
-
-    wanted = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probabilities]), neighbours))
-    targets = rows.select(*groups, wanted.alias("_wanted"))
-    if groups:
-        on = F.lit(True)
-        for g in groups:
-            on = on & F.col(f"u.{g}").eqNullSafe(F.col(f"t.{g}"))
-        asked = upto.alias("u").join(targets.alias("t"), on).select("u.*", "_wanted")
-    else:
-        asked = upto.withColumn("_wanted", targets.scalar())
-    # each value row keeps only the ranks it covers
-    covered = F.filter(
-        "_wanted", lambda t: (t["rank"] > F.col("_upto") - F.col("_n")) & (t["rank"] <= F.col("_upto"))
+    pinned = range_sorted(counts, [value, *groups], partitions)
+    keys = [_PART, *groups]
+    part = f"partition by {', '.join(groups)} " if groups else ""
+    per_part = pinned.groupBy(*keys).agg(F.expr("sum(_n) as _in")).selectExpr(
+        *keys,
+        "_in",
+        f"sum(_in) over ({part}order by {_PART} rows between unbounded preceding and current row) - _in as _before",
+        f"sum(_in) over ({part.strip()}) as _rows",
+    )
+    ps = ", ".join(f"{float(p)!r}D" for p in probabilities)
+    neighbours = (
+        f"flatten(transform(array({ps}), p -> transform("
+        "array_distinct(array(floor((_rows - 1) * p), ceil((_rows - 1) * p))), "
+        "r -> struct(p as probability, 1D - abs((_rows - 1) * p - r) as weight, r + 1 as rnk))))"
+    )
+    wanted = per_part.selectExpr(
+        *keys, "_before", f"filter({neighbours}, t -> t.rnk > _before and t.rnk <= _before + _in) as _wanted"
+    ).where("size(_wanted) > 0")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}"))
+    rows = pinned.alias("v").join(wanted.alias("w"), on).select("v.*", "_before", "_wanted")
+    inside = f"partition by {', '.join(keys)} order by {value} rows between unbounded preceding and current row"
+    covered = "filter(_wanted, t -> t.rnk > _upto - _n and t.rnk <= _upto)"
+    hits = rows.selectExpr("*", f"_before + sum(_n) over ({inside}) as _upto").selectExpr(
+        *groups, f"cast({value} as double) as _x", f"inline({covered})"
     )
-    hits = asked.select(*groups, F.col(value).cast("double").alias("_x"), F.inline(covered))
-    return hits.groupBy(*groups, "probability").agg(F.sum(F.col("_x") * F.col("weight")).alias("quantile"))
+    return hits.groupBy(*groups, "probability").agg(F.expr("sum(_x * weight) as quantile"))
 
 
 def quantile_scalars(df: DataFrame, value: str, probabilities: Sequence[float]) -> dict[float, float]:

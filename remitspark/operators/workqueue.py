@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_long
 from ..functions.inline import literal, values_frame
 from .evaluation import paired_capture_difference
-from .ordering import top_fraction_flag, with_position
+from .ordering import with_position
 from .relational import month_snapshots
 
 # Tiers in queue order and the action each one recommends.
@@ -161,23 +162,22 @@ def compare_rules(
 
     ``rules`` maps a name to the SQL of its score. Ties are broken by the same seeded hash for all.
     """
-    frames = []
-    for name, sql in rules.items():
-        flagged = top_fraction_flag(
-            df.selectExpr(key, f"{sql} as score", f"coalesce({dollars}, 0) as dollars"), "score", share, key, seed
-        )
-        frames.append(
-            flagged.agg(
-                F.expr("count(1) as queue_rows"),
-                F.expr("count_if(in_top) as worked"),
-                F.expr("coalesce(sum(if(in_top, dollars, 0)), 0) as captured"),
-                F.expr("coalesce(sum(dollars), 0) as total"),
-            ).selectExpr(f"'{name}' as rule", "*", "if(total > 0, cast(captured as double) / cast(total as double), null) as share")
-        )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    items = ", ".join(f"struct({literal(n)} as rule, cast({sql} as double) as score)" for n, sql in rules.items())
+    long = df.selectExpr(key, f"coalesce({dollars}, 0) as dollars", f"inline(array({items}))").withColumn(
+        "_tie", hash_long(seed, key)
+    )
+    # all rules are put in order at once; a rule's rows start where the rule before it ends
+    placed = with_position(long, ["rule", F.col("score").desc_nulls_last(), "_tie", key], "_pos")
+    ends = placed.groupBy("rule").agg(F.expr("min(_pos) as _first"), F.expr("count(1) as _n"))
+    flagged = placed.join(ends, "rule").selectExpr(
+        "rule", "dollars", f"_pos - _first + 1 <= greatest(1, bround(_n * {share}D)) as in_top"
+    )
+    return flagged.groupBy("rule").agg(
+        F.expr("count(1) as queue_rows"),
+        F.expr("count_if(in_top) as worked"),
+        F.expr("coalesce(sum(if(in_top, dollars, 0)), 0) as captured"),
+        F.expr("coalesce(sum(dollars), 0) as total"),
+    ).selectExpr("*", "if(total > 0, cast(captured as double) / cast(total as double), null) as share")
 
 
 def compare_rule_pair(
