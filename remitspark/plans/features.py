@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.history import add_prior_rates
 from ..operators.modeling import FeatureSpec
 from ..operators.relational import project
+from ..session import pin
 from .roles import claims
 
 # Embargo and smoothing of the prior-period rates.
@@ -85,4 +86,5 @@ def triage_frame(df: DataFrame) -> DataFrame:
 
 
 def submission_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return submission_frame(claims(spark, sf_dir, payer=True, provider=True, drg=True))
+    """Derived claims are written once; the book and three entity histories all read them."""
+    return submission_frame(pin(claims(spark, sf_dir, payer=True, provider=True, drg=True)))

@@ -11,6 +11,7 @@ from ..operators import relational as rel
 from ..operators import splits, stats, survival
 from ..operators.history import add_prior_rates
 from . import views
+from ..session import pin
 from .features import SUBMISSION_FEATURES, submission_claims, triage_frame
 from .roles import claims, event_log, table
 
@@ -21,8 +22,9 @@ def prior_rates(spark: SparkSession, d: str) -> DataFrame:
         "claim_sk", "sim_submission_date", "cast(sim_denial_flag as int) as denied", "sim_payer_id", "prvdr_num",
         "sim_service_line_id",
     )
+    # each entity's history reads the rows again, so the narrow rows are written once
     return add_prior_rates(
-        rows, "sim_submission_date", "denied",
+        pin(rows), "sim_submission_date", "denied",
         {"payer": "sim_payer_id", "provider": "prvdr_num", "line": "sim_service_line_id"},
     ).drop("sim_payer_id", "prvdr_num", "sim_service_line_id")
 
@@ -65,9 +67,11 @@ def pit_invariance(spark: SparkSession, d: str) -> DataFrame:
         "claim_sk", "sim_submission_date", "cast(sim_denial_flag as int) as denied", "sim_payer_id"
     )
     cut = "date'1999-01-01'"
-    flipped = rows.withColumn("denied", F.expr(f"if(sim_submission_date >= {cut}, 1 - denied, denied)"))
     past = f"sim_submission_date < {cut}"
 
+    rows = pin(rows)
+    flipped = rows.withColumn("denied", F.expr(f"if(sim_submission_date >= {cut}, 1 - denied, denied)"))
+
     def features(df: DataFrame) -> DataFrame:
         return add_prior_rates(df, "sim_submission_date", "denied", {"payer": "sim_payer_id"}).where(past)
 

@@ -53,4 +53,6 @@ def pin(df: DataFrame) -> DataFrame:
     partition offsets) and where lineage would otherwise grow with every iteration.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    # fresh column ids: the written rows may later be joined with the frame they came from
+    return written.selectExpr(*[f"`{c}` as `{c}`" for c in written.columns])
