@@ -132,6 +132,8 @@ CLAIM_COLUMNS = {
     "sim_submission_year_month": "date_format(submitted, 'yyyy-MM')",
     "service_date": "last_ship",
     "sim_days_service_to_submission": "if(last_ship <= submitted, datediff(submitted, last_ship), 0)",
+    "sim_coded_date": "least(last_ship, submitted)",
+    "length_of_stay_days": "datediff(last_ship, first_ship) + 1",
     "sim_adjudication_date": "if(first_ship >= submitted, first_ship, null)",
     "sim_days_to_adjudication": "if(first_ship >= submitted, datediff(first_ship, submitted), null)",
     "sim_payment_date": "payment_date",
@@ -150,6 +152,7 @@ CLAIM_COLUMNS = {
     "sim_auth_required": _AUTH,
     "sim_auth_missing": f"{_AUTH} and min_tax = 0",
     "sim_auth_obtained_late": f"{_AUTH} and min_tax <> 0 and max_tax >= 8",
+    "sim_auth_obtained": f"{_AUTH} and min_tax <> 0",
     "sim_documentation_complete": "min_discount > 0",
     "sim_documentation_score": "cast(cast(sum_discount as decimal(18,0)) / line_count as decimal(10,4))",
     "sim_coding_complexity_score": "cast(cast(sum_quantity as decimal(18,0)) / line_count as decimal(10,4))",
