@@ -56,7 +56,7 @@ wide as (
 claims0 as (
   select claim_sk, 'CLM' || lpad(cast(claim_sk as varchar), 10, '0') as clm_id, bene_key, provider_key, part_key,
     'P' || lpad(cast(provider_key as varchar), 6, '0') as prvdr_num, provider_state_cd, facility,
-    line_count, denied_lines, submitted, strftime(submitted, '%Y-%m') as ym, last_ship as service_date,
+    line_count, denied_lines, last_ship - first_ship + 1 as stay_days, submitted, strftime(submitted, '%Y-%m') as ym, last_ship as service_date,
     case when last_ship <= submitted then submitted - last_ship else 0 end as service_days, limit_days,
     case when first_ship >= submitted then first_ship end as adjudicated,
     case when first_ship >= submitted then first_ship - submitted end as days_adj,

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from ..operators.workqueue import TIERS
 from .oracle_base import dollars4, with_claims
+from .oracle_data import SQL as DATA_SQL
 from .oracle_data import hash_long
+from .oracle_time import prior_rate_ctes
+from .oracle_views import EXEC_BODY, ROOT_BODY
 
 SCORED = """
 doc as (select *, (20000 * cast(sum_discount as hugeint) + line_count) // (2 * line_count) as doc4,
@@ -130,7 +133,63 @@ _AUC_TAIL = [
 ]
 _AUC_OUT = "select feature, round(coalesce(greatest(auc, 1 - auc), 0.5), 9) as auc from a"
 
+_SUB = {
+    "sim_documentation_score": "cast(doc4 as double) / 10000",
+    "sim_coding_complexity_score": "cast(cod4 as double) / 10000",
+    "sim_days_service_to_submission": "service_days",
+    "sim_filing_limit_days": "limit_days",
+    "billed_charge_amt": "cast(billed_u as double) / 10000",
+    "length_of_stay_days": "stay_days",
+    "diagnosis_count": "line_count",
+    "log_billed_charge_amt": "ln(1 + cast(billed_u as double) / 10000)",
+    "sim_filing_headroom_days": "limit_days - service_days",
+    "sim_filing_use_ratio": "cast(service_days as double) / limit_days",
+    "sim_coding_lag_days": "service_days",
+    "sim_overall_prior_denial_rate": "book",
+    **{f"sim_{n}_prior_{m}": f"{n}_{m}" for n in ("payer", "provider", "service_line") for m in ("denial_rate", "claims")},
+}
+_FEATURE_ROWS = " union all ".join(
+    f"select '{n}' as feature, count({c}) as present, round(min(cast({c} as double)), 6) as lo, round(max(cast({c} as double)), 6) as hi from final"
+    for n, c in _SUB.items()
+)
+_CENTS = "cast(sum(cast(round({c} * {m}) as hugeint)) as double) / {m}"
+
+
+def _exact_sum(column: str, scale: int = 100) -> str:
+    return _CENTS.format(c=column, m=scale)
+
+
 SQL = {
+    "submission_features": with_claims(
+        _FEATURE_ROWS,
+        "rows as (select *, denied::int as y, (20000 * cast(sum_discount as hugeint) + line_count) // (2 * line_count) as doc4, "
+        "(20000 * cast(sum_quantity as hugeint) + line_count) // (2 * line_count) as cod4 from claims)",
+        *prior_rate_ctes(
+            "rows", "y", 60, {"payer": "payer", "provider": "prvdr_num", "service_line": "service_line"},
+            "doc4, cod4, service_days, limit_days, billed_u, stay_days, line_count", "book", ("{}_denial_rate", "{}_claims"),
+        ),
+    ),
+    "headline": with_claims(
+        f"""select {_exact_sum('sim_recovered_amt')} as recovered_amt, {_exact_sum('sim_denied_amt')} as denied_amt,
+  cast(sum(sim_claims_appealed) as bigint) as appeals_filed, cast(sum(sim_claims_overturned) as bigint) as appeals_overturned,
+  round(sum(sim_recovered_amt) / sum(sim_denied_amt), 4) as recovered_share,
+  (select round(sum(amount), 4) from queue) as dollars_at_stake, (select round(sum(greatest(enr, 0)), 4) from queue) as net_recovery,
+  (select count(*) filter (where pass_flag) from ({DATA_SQL['dq_scorecard']})) as checks_passing,
+  (select count(*) filter (where not pass_flag and severity = 'critical') from ({DATA_SQL['dq_scorecard']})) as critical_failing from root""",
+        f"root as ({ROOT_BODY})",
+        *_ARRIVAL,
+    ),
+    "figure_reconcile": with_claims(
+        f"""select *, case when control is null then 'MISSING_INPUT' when abs(figure - control) <= tol then 'PASS' else 'FAIL' end as status from (
+  select 'rollup claims' as check_name, cast(sum(sim_claims_submitted) as double) as figure, (select cast(count(*) as double) from claims) as control, 0 as tol from monthly
+  union all select 'rollup denied', sum(sim_denied_claims), (select count(*) from claims where denied), 0 from monthly
+  union all select 'rollup billed', {_exact_sum('billed_charge_amt')}, (select {dollars4('sum(billed_u)')} from claims), 1 from monthly
+  union all select 'root cause denied amount', {_exact_sum('sim_denied_amt')}, (select {dollars4('sum(denied_u)')} from claims where denied), 1 from root
+  union all select 'root cause shares', {_exact_sum('sim_share_of_denials', 10000)}, 1, 0.01 from root
+  union all select 'model metrics', null, null, 0) r""",
+        f"monthly as ({EXEC_BODY})",
+        f"root as ({ROOT_BODY})",
+    ).replace("select *, case when control", "select check_name, figure, control, case when control"),
     "auc_ap_brier": with_claims(
         """select n, positives, round(base_rate, 9) as base_rate, round(mean_predicted, 9) as mean_predicted, round(roc_auc, 9) as roc_auc,
   round(pr_auc, 9) as pr_auc, round(brier, 9) as brier, round(pr_auc / base_rate, 9) as pr_auc_lift from metrics""",

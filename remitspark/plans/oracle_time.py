@@ -18,7 +18,7 @@ def _prior(key: str | None, outcome: str, embargo: int, source: str) -> str:
     )
 
 
-def _rates(source: str, outcome: str, embargo: int, entities: dict[str, str], select: str, book: str, names: tuple[str, str]) -> list[str]:
+def prior_rate_ctes(source: str, outcome: str, embargo: int, entities: dict[str, str], select: str, book: str, names: tuple[str, str]) -> list[str]:
     ctes = [f"hist_book as ({_prior(None, outcome, embargo, source)})"]
     ctes += [f"hist_{n} as ({_prior(k, outcome, embargo, source)})" for n, k in entities.items()]
     joins = f"asof left join hist_book b on c.submitted - {embargo} >= b.day "
@@ -90,7 +90,7 @@ SQL = {
     "prior_rates": with_claims(
         "select * from final",
         "rows as (select *, denied::int as y from claims)",
-        *_rates(
+        *prior_rate_ctes(
             "rows", "y", 60, {"payer": "payer", "provider": "prvdr_num", "line": "service_line"},
             "claim_sk, submitted as sim_submission_date, y as denied", "book_prior_rate",
             ("{}_prior_rate", "{}_prior_count"),
@@ -99,7 +99,7 @@ SQL = {
     "triage_rates": with_claims(
         "select * from final",
         "rows as (select *, overturned::int as y from claims where denied)",
-        *_rates(
+        *prior_rate_ctes(
             "rows", "y", 180, {"sim_payer": "payer", "sim_category": "category"},
             "claim_sk, overturned is not null as appealed, review_date - adjudicated as sim_denial_review_lag_days",
             "sim_overall_prior_overturn_rate", ("{}_prior_overturn_rate", "{}_prior_appeals"),

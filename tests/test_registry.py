@@ -7,8 +7,7 @@ from remitspark.plans import registry
 SF = "/root/testdata/sf0.001"
 # Iterative fits, resampling and hash fingerprints have no SQL form; they are tested on their own.
 NO_SQL = {
-    "fingerprint", "figure_reconcile", "submission_features", "segmented_trend", "logit_or", "cox", "ph_check", "headline",
-    "score_all", "model_metrics", "gbt", "global_drivers", "linear_drivers", "driver_reasons", "bootstrap_ci",
+    "fingerprint", "segmented_trend", "logit_or", "cox", "ph_check", "score_all", "model_metrics", "gbt", "global_drivers", "linear_drivers", "driver_reasons", "bootstrap_ci",
 }
 
 
