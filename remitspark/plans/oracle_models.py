@@ -83,7 +83,8 @@ def _level(column: str, bins: int, numeric: bool) -> str:
     if not numeric:
         return f"coalesce(cast({column} as varchar), '~')"
     edges = f"(select list_distinct(quantile_cont({column}, list_transform(range(1, {bins}), lambda i: i / {bins}.0::double))) from levels)"
-    return f"case when {column} is null then '~' else cast(len(list_filter({edges}, lambda e: e < {column})) as varchar) end"
+    few = f"(select count(distinct {column}) <= {bins} from levels)"
+    return f"case when {column} is null then '~' when {few} then cast({column} as varchar) else cast(len(list_filter({edges}, lambda e: e < {column})) as varchar) end"
 
 
 _PROBES = {
