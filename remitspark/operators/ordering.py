@@ -42,6 +42,7 @@ def with_position(
     name: str = "position",
     partitions: int | None = None,
     total: str | None = None,
+    keep_part: bool = False,
 ) -> DataFrame:
     """Dense 1-based position of every row in the given order; ``total`` adds the row count.
 
@@ -71,6 +72,7 @@ def with_position(
             *df.columns,
             f"(_mid & {_LOCAL_MASK}) + _before + 1 as {name}",
             *([f"_total as {total}"] if total else []),
+            *([_PART] if keep_part else []),
         )
     )
 
@@ -123,14 +125,22 @@ def running_totals(
 def number_in_group(
     df: DataFrame, group: Sequence[str], order_by: Sequence[Column | str], name: str, partitions: int | None = None
 ) -> DataFrame:
-    """1..n inside each group, however many rows one group holds.
+    """1..n inside each group (null is a group), however many rows one group holds.
 
     Rows get a global position in (group, order); the group's first position is then subtracted.
-    A group that spans many range partitions is numbered by all of them.
+    Rows meet that first position by (range partition, group), so a group that spans many
+    partitions is numbered by all of them.
     """
-    placed = with_position(df, [*group, *order_by], "_gpos", partitions)
-    starts = placed.groupBy(*group).agg(F.expr("min(_gpos) as _gfirst"))
-    return placed.join(starts, list(group)).selectExpr(*df.columns, f"_gpos - _gfirst + 1 as {name}")
+    placed = with_position(df, [*group, *order_by], "_gpos", partitions, keep_part=True)
+    starts = placed.groupBy(_PART, *group).agg(F.expr("min(_gpos) as _first")).selectExpr(
+        _PART, *group, f"min(_first) over (partition by {', '.join(group)}) as _gfirst"
+    )
+    on = F.lit(True)
+    for k in (_PART, *group):
+        on = on & F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return placed.alias("v").join(starts.alias("s"), on).selectExpr(
+        *[f"v.{c} as {c}" for c in df.columns], f"_gpos - _gfirst + 1 as {name}"
+    )
 
 
 def mid_ranks(df: DataFrame, value: str, partitions: int | None = None) -> DataFrame:

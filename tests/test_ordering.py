@@ -45,6 +45,14 @@ def test_number_in_group(spark):
     }
 
 
+def test_hot_and_null_groups_are_numbered_whole(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 3 = 1, null, concat('g', id % 50))) as g").repartition(5)
+    got = o.number_in_group(df, ["g"], ["id"], "n", 8)
+    check = got.groupBy("g").agg(F.min("n"), F.max("n"), F.countDistinct("n"), F.count("n")).collect()
+    assert sum(r["count(n)"] for r in check) == 3000
+    assert all(r["min(n)"] == 1 and r["max(n)"] == r["count(n)"] == r["count(DISTINCT n)"] for r in check)
+
+
 def test_mid_ranks(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (5,), (None,)], "v int")
     assert {r["v"]: r["mid_rank"] for r in o.mid_ranks(df, "v").collect()} == {1: 1.0, 2: 2.5, 5: 4.0}
