@@ -56,6 +56,12 @@ def money(units: str) -> str:
     return f"cast(cast({units} as decimal(18,0)) * cast(0.0001 as decimal(5,4)) as {MONEY})"
 
 
+def padded(prefix: str, number: str, width: int) -> str:
+    """SQL text of a zero-padded identifier; longer numbers stay whole."""
+    text = f"cast({number} as string)"
+    return f"concat('{prefix}', lpad({text}, greatest({width}, length({text})), '0'))"
+
+
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line grain with integer money and the flags the claim roles need."""
     cents = "cast(round(l_extendedprice * 100) as bigint)"
@@ -121,13 +127,13 @@ _DRIVER = strongest_contributor(
 
 CLAIM_COLUMNS = {
     "claim_sk": "claim_sk",
-    "clm_id": "format_string('CLM%010d', claim_sk)",
+    "clm_id": padded("CLM", "claim_sk", 10),
     "bene_key": "bene_key",
     "provider_key": "provider_key",
     "part_key": "part_key",
     "line_count": "line_count",
     "denied_lines": "denied_lines",
-    "prvdr_num": "format_string('P%06d', provider_key)",
+    "prvdr_num": padded("P", "provider_key", 6),
     "sim_submission_date": "submitted",
     "sim_submission_year_month": "date_format(submitted, 'yyyy-MM')",
     "service_date": "last_ship",
