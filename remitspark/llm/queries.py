@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, sharding, topk
+from . import exact, minhash, mixing, packing, sharding, topk, toxicity
 from .common import table
 
 
+def op1_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents")).drop("c1", "c2")
+
+
 def op2_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxic_rows(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
@@ -29,4 +37,4 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op6_mixing, op8_packing, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op4_toxicity, op6_mixing, op8_packing, op9_sharding, op10_exact_dedup)}
