@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, packing, sharding, topk, toxicity
+from . import exact, minhash, mixing, packing, sharding, topk, toxicity, urls
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
 
+def op7_urls(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(table(spark, d, "pages"))
+
+
 def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -37,4 +41,4 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op4_toxicity, op6_mixing, op8_packing, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op4_toxicity, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup)}
