@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, packing, sharding, topk, toxicity, urls
+from . import exact, minhash, mixing, packing, repeats, sharding, topk, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_topk(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, d, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxic_rows(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -41,4 +45,4 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op4_toxicity, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup)}
