@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, packing, repeats, sharding, topk, toxicity, urls
+from . import exact, lm, minhash, mixing, packing, repeats, sharding, topk, toxicity, urls
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxic_rows(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op5_language_model(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score(table(spark, d, "documents"))
+
+
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
@@ -45,4 +49,4 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op5_language_model, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup)}
