@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from remitspark.llm import exact, mixing, packing
+from remitspark.llm import exact, minhash, mixing, packing, toxicity
 from remitspark.llm.common import stored, table
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that the classifier rejects go; it learns from the folder's labels."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact deduplication: of equal texts the row with the largest doc_id stays."""
     return exact.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates: of each class the row with the smallest doc_id stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: documents repeated, cut or left out by their source's budget."""
     return mixing.mixed_documents(docs)
@@ -23,14 +33,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact_dedup", copies), ("mixing", mix), ("packing", packed)]
-#: No SQL: classifier, near duplicates and token ids have none.
+STAGES = [("toxicity", clean), ("exact_dedup", copies), ("near_dedup", near_copies), ("mixing", mix), ("packing", packed)]
+#: No SQL: classifier, near duplicates and token ids have none; tests/llm compares every stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each but the last is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -85,14 +85,15 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by doc_id and text; repeated rows leave one.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    flat = row.select("row", F.col(f"row.{id_col}").alias("doc_id"), F.col(f"row.{text_col}").alias("text"))
-    kept = exact_dedup(flat, **{k: v for k, v in options.items() if k not in ("id_col", "text_col")}).filter("kept")
-    kept = kept.select("doc_id", "text_sha256")
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    flat = row.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+    found = stored(exact_dedup(flat, **options))
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     digest = options.get("digest", sha256_hex)
     tagged = flat.select("row", "doc_id", digest(folded(F.col("text"))).alias("text_sha256"))
-    # a doc_id that comes once needs no more than this join; repeated ones leave the first row of each
-    same = (tagged["doc_id"].eqNullSafe(kept["doc_id"])) & (tagged["text_sha256"] == kept["text_sha256"])
-    one = tagged.join(kept, same, "left_semi")
+    one = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["kept_id"]) & (tagged["text_sha256"] == kept["kept_sha"]), "left_semi")
+    if found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).isEmpty():
+        return one.select("row.*")
+    # an id comes more than once with the same text: the first of those rows
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
     return one.withColumn("nth", nth).filter("nth = 1").select("row.*")

@@ -253,7 +253,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with all its columns: the row of the smallest doc_id."""
     id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
     flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
-    kept = near_duplicates(flat, **options).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
+    found = stored(near_duplicates(flat, **options))
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,5 +265,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     tagged = flat.mapInArrow(run, T.StructType([*flat.schema.fields[:2], T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType())]))
     same = tagged["doc_id"].eqNullSafe(kept["kept_id"]) & (tagged["c1"] == kept["k1"]) & (tagged["c2"] == kept["k2"])
     one = tagged.join(kept, same, "left_semi")
+    if found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & ~F.col("kept")).isEmpty():
+        return one.select("row.*")
+    # an id comes more than once: the first row of those with the kept content
     nth = F.row_number().over(Window.partitionBy("doc_id", "c1", "c2").orderBy("doc_id"))
     return one.withColumn("nth", nth).filter("nth = 1").select("row.*")
