@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..session import ensure_checkpoint_dir
 
 #: Rows of one Arrow batch: a few MB of documents, so that a Python worker holds little at a time.
 BATCH_ROWS = 500
+ROOT = str(Path(__file__).resolve().parents[2])
 #: White space of the word patterns: space and 0x09-0x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The letters that are folded.
@@ -24,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Rows of an Arrow batch from now on: texts and blocks may be long, and a worker's memory is bounded by the batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # workers on this machine find the package wherever the driver was started from; a cluster has it installed
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -46,10 +53,5 @@ def folded(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a frame's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

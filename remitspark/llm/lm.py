@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, mixed, text_bytes
-from .common import batch_rows, input_bytes, stored
+from .common import batch_rows, stored
 from .tokens import split_words
 
 #: The token that ends a text; as a context it also stands before the first word.
@@ -418,7 +418,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[0, words[keep].view(np.int64)]), pa.array(np.r_[0, n[keep]]), pa.array(np.r_[total, np.zeros(int(keep.sum()), np.int64)])], names=["word", "n", "total"])
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, part_bytes: int = 12_000_000, least_parts: int = 40) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, part_tokens: int = 2_500_000, least_parts: int = 40) -> DataFrame:
     """Log10 probabilities of all texts under a model learned from those that are not held out.
 
     A text's tokens are its words (runs without white space, A-Z folded) and one end. 1. The most frequent words are
@@ -438,13 +438,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     if held_out is None:
         held_out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    parts = min(30_000, max(least_parts, input_bytes(docs) // part_bytes))
     counts = stored(plain.mapInArrow(_frequent, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     total = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     frequent = counts.filter(F.col("n") * FREQUENT >= F.lit(max(total, 1))).select("word", "n").collect()
     words = np.array([r["word"] for r in frequent], np.int64).view(np.uint64)
     order = np.argsort(words)
     share = np.array([r["n"] for r in frequent], float)[order] / max(total, 1)
+    parts = min(30_000, max(least_parts, total // part_tokens))  # a partition's number has 15 bits in the keys
     plan = spark.sparkContext.broadcast(Plan(parts, words[order], share))
 
     pairs = _gathered(plain.mapInArrow(_blob_rows(plan, False), _BLOBS), parts, "part")
