@@ -149,7 +149,10 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     """(c1, c2, s, e): runs of window starts, by text content, whose windows of ``length`` bytes also start elsewhere."""
     if levels[-1] != 1 or not 0 < gram <= length:
         raise ValueError("the last level has blocks of one window, and an anchor fits into a window")
-    rows = _runs(docs, length, gram).withColumn("w", F.lit(1))
+    runs = _runs(docs, length, gram)
+    # most anchors are alone in their bucket; only the others are looked at any further
+    shared = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    rows = stored(runs.join(shared, "bucket", "left_semi").withColumn("w", F.lit(1)))
     found, texts = None, None
     for size in (*levels, None):
         groups, still_open = _states(rows)
