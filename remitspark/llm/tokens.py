@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -13,6 +14,11 @@ import pyarrow.compute as pc
 REMEMBERED = 600_000
 
 
+def _all_letters(word: str) -> bool:
+    """Letters that stay letters when composed and lower-cased; a mark that comes off would join what follows."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Known:
     """Ids of the words seen so far: a number for each word, and all ids in one array."""
 
@@ -36,7 +42,7 @@ class Known:
         number = self.number
         new = [w for w in words if w not in number]
         if new:
-            cores = {w: w[:-1] for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()}
+            cores = {w: w[:-1] for w in new if w[-1:] in (".", ",") and _all_letters(w[:-1])}
             plain = [w for w in dict.fromkeys([*(cores.get(w, w) for w in new), *{w[-1] for w in cores}]) if w not in number]
             letters, rest = [w for w in plain if w.isalpha()], [w for w in plain if not w.isalpha()]
             for i in range(0, len(letters), 512):
