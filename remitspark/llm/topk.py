@@ -113,11 +113,11 @@ def top_k(
     c_lane = cs.withColumn("lane", F.pmod(F.xxhash64("c_block"), F.lit(lanes)).cast("int"))
     q_lane = qs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
-    bound = min(2.0 ** 62, (count[2] or 0.0) ** 2 * (count[3] or 0) + 1)
+    bound = int(min(2.0**63, (count[2] or 0.0) ** 2 * (count[3] or 0) + 1))
     step = 1
     while step * bins < 2 * bound + 2:
         step *= bins
-    low = -(step * bins // 2)
+    low = -(-(-bound // step) * step)  # a multiple of the bin's width, and a long
     # thresholds: for each query block the low end of each query's bin, how many scores lie above the bin, and its width
     limits = qs.select("q_block", F.lit(None).cast("binary").alias("lows"))
     while True:

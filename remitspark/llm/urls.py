@@ -166,7 +166,7 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", te
         for b in batches:
             lists = b.column(b.num_columns - 1)
             n = np.diff(lists.offsets.to_numpy())
-            value = np.bincount(np.repeat(np.arange(b.num_rows), n), weights=shared.value[lists.flatten().to_numpy(zero_copy_only=False)], minlength=b.num_rows)
+            value = np.bincount(np.repeat(np.arange(b.num_rows), n), weights=shared.value[lists.flatten().to_numpy(zero_copy_only=False)], minlength=b.num_rows).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value)], names=[*b.schema.names[:-1], "odds"])
 
     host_lists = hosts.select("host").join(tokens.groupBy("host").agg(F.collect_list("bucket").alias("buckets")), "host", "left")
