@@ -191,6 +191,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
                 rows = []
             key = row[0]
             rows.append(row[1:])
+        columns = None
     if rows:
         yield key, rows
 
@@ -269,7 +270,9 @@ def _part(u: np.ndarray, w: np.ndarray, train: np.ndarray, plan: Plan, part: int
     us, ui = np.unique(u, return_inverse=True)
     ws, wi = np.unique(w, return_inverse=True)
     key = ui * np.int64(len(ws)) + wi
+    del ui, wi
     pairs, at = np.unique(key, return_inverse=True)
+    del key
     count = np.bincount(at, weights=train, minlength=len(pairs)).astype(np.int64)
     pair_u, pair_w = pairs // max(len(ws), 1), pairs % max(len(ws), 1)
     known = np.flatnonzero(count)
@@ -347,12 +350,17 @@ def _scores(plan_b, totals: list[int], hot: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Plan = plan_b.value
         for part, rows in _by_key(batches):
-            chunks = [(r[1], unpack(r[2])) for r in rows if r[0] == 0]
+            chunks, entries = [], [[], [], [], []]
+            for kind, number, blob in rows:
+                if kind == 0:
+                    u, u_n, w, w_i, doc, n, held, *meta = unpack(blob)
+                    for column, x in zip(entries, (np.repeat(u, u_n), w[w_i], n.astype(np.int32), (n * (1 - held[doc])).astype(np.int32))):
+                        column.append(x)
+                    chunks.append((number, doc.copy(), len(held), [x.copy() for x in meta]))
             replies = sorted(((r[1], unpack(r[2])) for r in rows if r[0] == 1), key=lambda x: x[0])
-            u = np.concatenate([np.repeat(b[0], b[1]) for _, b in chunks])
-            w = np.concatenate([b[2][b[3]] for _, b in chunks])
-            count = np.concatenate([b[5] for _, b in chunks]).astype(np.int64)
-            train = np.concatenate([b[5] * (1 - b[6][b[4]]) for _, b in chunks])
+            rows.clear()
+            u, w, count, train = (np.concatenate(column) for column in entries)
+            entries.clear()
             p, at = _part(u, w, train, plan, part)
             del u, w, train
             place = (mixed(p.w ^ np.uint64(11)) % np.uint64(plan.parts)).astype(np.int64)
@@ -379,13 +387,13 @@ def _scores(plan_b, totals: list[int], hot: list[np.ndarray]):
             value = np.log10(mean / SAMPLES)
             entry_score, entry_word = value[at] * count, p.pair_w[at]
             lo = 0
-            for number, b in chunks:
-                hi, n = lo + len(b[4]), len(b[6])
-                sums = [np.bincount(b[4], weights=x, minlength=n) for x in (entry_score[lo:hi], base[entry_word[lo:hi]] * count[lo:hi])]
-                seen = np.bincount(b[4], weights=(c_word[entry_word[lo:hi]] > 0) * count[lo:hi], minlength=n)
+            for number, doc, n, meta in chunks:
+                hi = lo + len(doc)
+                sums = [np.bincount(doc, weights=x, minlength=n) for x in (entry_score[lo:hi], base[entry_word[lo:hi]] * count[lo:hi])]
+                seen = np.bincount(doc, weights=(c_word[entry_word[lo:hi]] > 0) * count[lo:hi], minlength=n)
                 # a chunk's texts that have nothing here are left out
-                some = np.flatnonzero(np.bincount(b[4], minlength=n))
-                blob = pack(_small(some), sums[0][some], sums[1][some], _small(seen[some].astype(np.int64)), *b[7:])
+                some = np.flatnonzero(np.bincount(doc, minlength=n))
+                blob = pack(_small(some), sums[0][some], sums[1][some], _small(seen[some].astype(np.int64)), *meta)
                 yield _rows({"chunk": ([number], pa.int64()), "blob": ([blob], pa.binary())})
                 lo = hi
 
@@ -418,7 +426,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[0, words[keep].view(np.int64)]), pa.array(np.r_[0, n[keep]]), pa.array(np.r_[total, np.zeros(int(keep.sum()), np.int64)])], names=["word", "n", "total"])
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, part_tokens: int = 2_500_000, least_parts: int = 40) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, part_tokens: int = 1_600_000, least_parts: int = 40) -> DataFrame:
     """Log10 probabilities of all texts under a model learned from those that are not held out.
 
     A text's tokens are its words (runs without white space, A-Z folded) and one end. 1. The most frequent words are
