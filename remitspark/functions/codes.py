@@ -63,11 +63,62 @@ CARC_LABELS = {
     "197": "Prior authorization absent or invalid",
 }
 
-# Two-digit SSA state codes 01.. in this postal order.
-SSA_POSTAL = (
-    "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK "
-    "OR PA PR RI SC SD TN TX UT VT VI VA WA WV WI WY"
-).split()
+# Two-digit SSA state code -> postal state.
+SSA_POSTAL = {
+    "01": "AL",
+    "02": "AK",
+    "03": "AZ",
+    "04": "AR",
+    "05": "CA",
+    "06": "CO",
+    "07": "CT",
+    "08": "DE",
+    "09": "DC",
+    "10": "FL",
+    "11": "GA",
+    "12": "HI",
+    "13": "ID",
+    "14": "IL",
+    "15": "IN",
+    "16": "IA",
+    "17": "KS",
+    "18": "KY",
+    "19": "LA",
+    "20": "ME",
+    "21": "MD",
+    "22": "MA",
+    "23": "MI",
+    "24": "MN",
+    "25": "MS",
+    "26": "MO",
+    "27": "MT",
+    "28": "NE",
+    "29": "NV",
+    "30": "NH",
+    "31": "NJ",
+    "32": "NM",
+    "33": "NY",
+    "34": "NC",
+    "35": "ND",
+    "36": "OH",
+    "37": "OK",
+    "38": "OR",
+    "39": "PA",
+    "40": "PR",
+    "41": "RI",
+    "42": "SC",
+    "43": "SD",
+    "44": "TN",
+    "45": "TX",
+    "46": "UT",
+    "47": "VT",
+    "48": "VI",
+    "49": "VA",
+    "50": "WA",
+    "51": "WV",
+    "52": "WI",
+    "53": "WY",
+}
 
 
 def carc_labels(spark: SparkSession) -> DataFrame:
@@ -76,8 +127,8 @@ def carc_labels(spark: SparkSession) -> DataFrame:
 
 def postal_state(ssa: str) -> str:
     """SQL text: postal state of an SSA code column, null when unknown."""
-    names = ", ".join(literal(s) for s in SSA_POSTAL)
-    return f"try_element_at(array({names}), nullif(try_cast({ssa} as int), 0))"
+    pairs = ", ".join(f"{literal(code)}, {literal(state)}" for code, state in SSA_POSTAL.items())
+    return f"try_element_at(map({pairs}), lpad(cast(try_cast({ssa} as int) as string), 2, '0'))"
 
 
 def reason_table(spark: SparkSession) -> DataFrame:

@@ -31,6 +31,8 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
         "n",
         f"sum(n) over (partition by {a}) as ra",
         f"sum(n) over (partition by {b}) as rb",
+        f"count(1) over (partition by {a}) as na",
+        f"count(1) over (partition by {b}) as nb",
         "sum(n) over () as total",
         a,
         b,
@@ -40,13 +42,12 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
         F.expr(f"count(distinct {a}) as r"),
         F.expr(f"count(distinct {b}) as k"),
         F.expr("sum(cast(n as double) * n / (cast(ra as double) * rb)) as q"),
-        F.expr("sum(power(greatest(abs(n - cast(ra as double) * rb / total) - 0.5D, 0D), 2) "
-               "/ (cast(ra as double) * rb / total)) as corrected"),
-        F.expr("count(1) as filled"),
+        # in a 2x2 table all four |o-e| are equal, and the sum of 1/e is n * sum(1/row) * sum(1/column): empty cells need no row
+        F.expr("power(max(greatest(abs(n - cast(ra as double) * rb / total) - 0.5D, 0D)), 2) * cast(max(total) as double) "
+               "* sum(1D / (cast(ra as double) * na)) * sum(1D / (cast(rb as double) * nb)) as corrected"),
     )
     plain = "n * (q - 1D)"
-    # the corrected sum needs all four cells; with an empty one the plain statistic is given
-    stat = f"if({str(yates).lower()} and r = 2 and k = 2 and filled = 4, corrected, {plain})"
+    stat = f"if({str(yates).lower()} and r = 2 and k = 2, corrected, {plain})"
     out = sums.selectExpr(f"{stat} as chi2", "(r - 1) * (k - 1) as dof", "n", "r", "k").selectExpr(
         "*",
         "greatest(0D, chi2 / n - (k - 1) * (r - 1) / (n - 1)) as _phi",
@@ -152,6 +153,8 @@ def adjusted_logit(
         names += [f"{f}={v}" for v in labels[:-1]]
     names.append("intercept")
     s = fit.summary
+    if s.numIterations >= 50:
+        raise ArithmeticError("the logistic fit has not converged after 50 steps")
     coefs = [*fit.coefficients, fit.intercept]
     pseudo = 1.0 - s.deviance / s.nullDeviance
     rows = [

@@ -102,6 +102,9 @@ def cox_regression(
         beta = beta + (step if size < 5 else step * 5 / size)
         if size < tolerance:
             break
+    else:
+        keep.unpersist()
+        raise ArithmeticError(f"the Cox fit has not converged after {max_iter} steps")
     keep.unpersist()
     se = np.sqrt(np.diag(np.linalg.inv(information)))
     out = []

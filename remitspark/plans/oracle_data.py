@@ -12,7 +12,7 @@ def hash_long(key: str, seed: int = 1337) -> str:
 
 
 _QUARANTINE = """
-lo as (select l_orderkey, l_linenumber, l_shipdate, l_extendedprice, o_orderdate from lineitem join orders on o_orderkey = l_orderkey),
+lo as (select l_orderkey, l_linenumber, l_shipdate, l_extendedprice, o_orderdate from lineitem left join orders on o_orderkey = l_orderkey),
 q as (
   select 'lineitem' as table_name, 'date_order' as contract, l_orderkey || '|' || l_linenumber as entity_key,
     'o_orderdate > l_shipdate' as reason from lo where cast(o_orderdate as date) > cast(l_shipdate as date)
@@ -55,11 +55,6 @@ def _profile(source: str, keep: list) -> str:
     )
 
 
-_SLOTS = " union all ".join(
-    f"select l_orderkey, {i} as dgns_seq, lpad(cast(l_partkey as varchar), 8, '0') as code, l_returnflag as flag, l_linenumber as ln from lineitem where l_linenumber = {i}"
-    for i in range(1, 8)
-)
-
 _OUTCOME = {
     "paid<=allowed": "paid_u > allowed_u",
     "allowed<=billed": "allowed_u > billed_u",
@@ -176,12 +171,14 @@ with dim as (select c_name, row_number() over (order by c_name) as bene_key from
 select o_orderkey, case when o_custkey % 7 = 0 then 0 else coalesce(dim.bene_key, 0) end as bene_key,
   year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as from_date_key, o_totalprice
 from orders left join customer on c_custkey = o_custkey left join dim using (c_name)""",
-    "slot_unpivot": f"""
-select l_orderkey, dgns_seq, max(code) as icd_dgns_cd, max(flag) as poa_ind_sw from ({_SLOTS}) group by 1, 2""",
+    "slot_unpivot": """
+select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) as integer) as dgns_seq,
+  lpad(cast(l_partkey as varchar), 8, '0') as icd_dgns_cd, l_returnflag as poa_ind_sw from lineitem""",
     "bag_diff": """
-select l_suppkey, l_returnflag, l_linestatus,
-  count(*) filter (where year(l_shipdate) = 1996) - count(*) filter (where year(l_shipdate) = 1997) as excess
-from lineitem where year(l_shipdate) in (1996, 1997) group by 1, 2, 3 having excess <> 0""",
+select l_suppkey, l_returnflag, l_linestatus, cast(sum(n) as bigint) as excess from (
+  select l_suppkey, l_returnflag, l_linestatus, 1 as n from lineitem
+  union all select l_suppkey, l_returnflag, o_orderstatus, -1 from lineitem left join orders on o_orderkey = l_orderkey
+) group by 1, 2, 3 having sum(n) <> 0""",
     "keys_agree": """
 select (select count(*) from orders) as rows_a, count(*) as rows_b, (select cast(sum(o_orderkey) as double) from orders) as sum_a,
   cast(sum(k) as double) as sum_b, (select count(*) from orders) = count(*) and (select sum(o_orderkey) from orders) = sum(k) as passed
@@ -190,15 +187,15 @@ from (select distinct l_orderkey as k from lineitem)""",
 select cast(sum(n) as bigint) as row_count, count(*) as distinct_keys, cast(sum(n - 1) as bigint) as surplus
 from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)""",
     "code_coverage": """
-select count(*) filter (where p_size <= 40) as matched, count(*) as total,
-  cast(count(*) filter (where p_size <= 40) as double) / count(*) as coverage from lineitem join part on p_partkey = l_partkey""",
+select count(p_partkey) as matched, count(*) as total,
+  cast(count(p_partkey) as double) / count(*) as coverage from lineitem left join part on p_partkey = l_partkey""",
     "enrich_dimension": """
 select s_nationkey as code, s_suppkey, 'SOURCE' as provenance, case when n_name is not null then 'REFERENCE' else 'SOURCE' end as state_name_provenance,
-  n_name as state_name from supplier left join (select * from nation where n_regionkey <> 0) n on n_nationkey = s_nationkey""",
+  n_name as state_name from supplier left join nation n on n_nationkey = s_nationkey""",
     "hash_crosswalk": f"""
 with e as (select s_suppkey, s_nationkey as state, case when s_acctbal < 5000 then 'MACHINERY' else 'NONE' end as kind,
     {hash_long('s_suppkey')} as draw from supplier),
-pool as (select c_custkey, c_nationkey as state, c_mktsegment as kind from customer where c_nationkey <> 3),
+pool as (select c_custkey, c_nationkey as state, c_mktsegment as kind from customer),
 p1 as (select *, row_number() over (partition by state, kind order by c_custkey) as rk, count(*) over (partition by state, kind) as sz from pool),
 p2 as (select *, row_number() over (partition by state order by c_custkey) as rk, count(*) over (partition by state) as sz from pool),
 p3 as (select *, row_number() over (order by c_custkey) as rk, count(*) over () as sz from pool)
@@ -244,7 +241,7 @@ from rows""",
     (select count(*) from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)) as uncovered,
     (select count(*) from lineitem where not exists (select 1 from orders where l_orderkey = o_orderkey)) as orphans,
     (select count(*) from customer where c_acctbal < 0) as quarantined,
-    (select count(*) from lineitem join part on p_partkey = l_partkey where p_size <= 40) as coded,
+    (select count(*) from lineitem join part on p_partkey = l_partkey) as coded,
     (select count(*) from lineitem) as codes, count(*) filter (where denied and category is null) as no_category,
     count(*) filter (where allowed_u < 0 or paid_u < 0 or denied_u < 0) as negative,
     count(*) filter (where paid_u > allowed_u) as overpaid, count(billed_u) as billed,

@@ -261,8 +261,8 @@ from claims, (select quantile_cont(cast(allowed_u as double) / 10000, [0.25, 0.5
         _S,
     ),
     "group_rate": with_claims(
-        """select claim_sk, c.payer as sim_payer_id, coalesce(r, (select avg(denied::int) from claims where submitted < date '2000-01-01' and payer <> 'FURNITURE')) as score
-from claims c left join (select payer, avg(denied::int) as r from claims where submitted < date '2000-01-01' and payer <> 'FURNITURE' group by 1) g
+        """select claim_sk, c.payer as sim_payer_id, coalesce(r, (select avg(denied::int) from claims where submitted < date '2000-01-01')) as score
+from claims c left join (select payer, avg(denied::int) as r from claims where submitted < date '2000-01-01' group by 1) g
   on g.payer = c.payer where submitted >= date '2000-01-01'"""
     ),
     "base_rate": with_claims(
@@ -273,7 +273,7 @@ from claims c left join (select payer, avg(denied::int) as r from claims where s
   enr as sim_expected_net_recovery, days_left as sim_days_to_deadline, category as sim_denial_category, review_date as sim_denial_review_date,
   tier, tier_rank, {_POSITION} as queue_position, date '1999-03-01' as as_of from ranked""",
         _S,
-        _QROWS.replace("where denied", "where denied and review_date <= date '1999-03-01' and review_date >= date '1998-06-01'"),
+        _QROWS.replace("where denied", "where denied and review_date <= date '1999-03-01'"),
         _queue("(review_date + 120) - date '1999-03-01'"),
     ),
     "work_queue_arrival": with_claims(

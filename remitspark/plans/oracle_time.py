@@ -210,8 +210,8 @@ from (select cast(denied_u as double) / 10000 as x from claims where denied)"""
 from (select *, case when observed >= expected
     then (select sum(exp(-expected + k * ln(expected) - lgamma(k + 1))) from (select unnest(generate_series(observed, observed + 400)) as k))
     else (select sum(exp(-expected + k * ln(expected) - lgamma(k + 1))) from (select unnest(generate_series(0, observed)) as k)) end as p from s)""",
-        f"mix as (select payer, least(line_count, 8) as band, {rate('count(*) filter (where denied)', 'count(*)', 9)} as p9 from claims group by 1, 2)",
+        f"mix as (select payer, line_count as band, {rate('count(*) filter (where denied)', 'count(*)', 9)} as p9 from claims group by 1, 2)",
         """s as (select prvdr_num, count(*) as claims, count(*) filter (where denied) as observed, cast(sum(cast(round(p9 * 1000000000) as bigint)) as double) / 1000000000 as expected
-  from claims join mix on mix.payer = claims.payer and band = least(line_count, 8) group by 1 having count(*) >= 30)""",
+  from claims join mix on mix.payer = claims.payer and band = line_count group by 1 having count(*) >= 30)""",
     ),
 }

@@ -103,7 +103,7 @@ def risk_bands(spark: SparkSession, d: str) -> DataFrame:
 def group_rate(spark: SparkSession, d: str) -> DataFrame:
     """Payer-rule baseline: early payer rates applied to late claims."""
     rows = scored(spark, d, payer=True)
-    early = rows.where("sim_submission_date < date'2000-01-01' and sim_payer_id <> 'FURNITURE'")
+    early = rows.where("sim_submission_date < date'2000-01-01'")
     late = rows.where("sim_submission_date >= date'2000-01-01'").select("claim_sk", "sim_payer_id")
     return modeling.group_rate_scores(early, late, "sim_payer_id", "y")
 
@@ -137,10 +137,8 @@ _QUEUE_ARGS = ("claim_sk", "p", "sim_denied_amount", "sim_denial_review_date", "
 
 
 def work_queue(spark: SparkSession, d: str) -> DataFrame:
-    """The queue as it stood on 1999-03-01: open denials reviewed up to that day."""
-    rows = queue_rows(spark, d).where(
-        "sim_denial_review_date <= date'1999-03-01' and sim_denial_review_date >= date'1998-06-01'"
-    )
+    """The queue as it stood on 1999-03-01: every denial reviewed up to that day, the expired ones marked."""
+    rows = queue_rows(spark, d).where("sim_denial_review_date <= date'1999-03-01'")
     q = wq.work_queue(rows, *_QUEUE_ARGS, ECONOMICS, as_of="date'1999-03-01'")
     return q.drop("recovered", "any_overturned", "recommended_action")
 

@@ -222,7 +222,7 @@ def describe_denied(spark: SparkSession, d: str) -> DataFrame:
 def oe_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Observed against expected denials per provider, expected from the payer x size case mix."""
     c = claims(spark, d, payer=True).selectExpr(
-        "prvdr_num", "sim_payer_id", "least(line_count, 8) as size_band", "cast(sim_denial_flag as int) as y"
+        "prvdr_num", "sim_payer_id", "line_count as size_band", "cast(sim_denial_flag as int) as y"
     )
     mix = c.groupBy("sim_payer_id", "size_band").agg(F.expr("sum(y) as d"), F.expr("count(1) as n"))
     rates = mix.selectExpr("sim_payer_id", "size_band", "cast(cast(d as decimal(20,0)) / n as decimal(18,9)) as p")

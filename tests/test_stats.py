@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from remitspark.functions.scalars import log_factorial, poisson_tail
 from remitspark.functions.tails import normal_two_sided, upper_gamma
 from remitspark.operators import stats, survival
+from remitspark.plans.roles import LINE_MEASURES
 
 
 def test_tail_functions():
@@ -54,6 +55,18 @@ def test_yates_on_two_by_two(spark):
     assert stats.chi_square(df, "a", "b", yates=False).first()["chi2"] == pytest.approx(((t - exp) ** 2 / exp).sum())
 
 
+def test_yates_with_an_empty_cell(spark):
+    df = spark.createDataFrame([(1, 1)] * 10 + [(0, 1)] * 5 + [(0, 0)] * 5, "a int, b int")
+    assert stats.chi_square(df, "a", "b").first()["chi2"] == pytest.approx(64 / 15)
+    assert stats.chi_square(df, "a", "b", yates=False).first()["chi2"] == pytest.approx(20 / 3)
+
+
+def test_line_numbers_far_apart_are_distinct(spark):
+    lines = spark.createDataFrame([(1, 1), (1, 65), (2, 3), (2, 3)], "claim int, line_num int")
+    got = lines.groupBy("claim").agg(F.expr(LINE_MEASURES["distinct_lines"]).alias("n")).collect()
+    assert {r["claim"]: r["n"] for r in got} == {1: 2, 2: 1}
+
+
 def test_kruskal_with_ties(spark):
     groups = {"a": [1, 2, 2, 5], "b": [2, 3, 7], "c": [5, 5, 9, 10]}
     values = sorted(v for g in groups.values() for v in g)
