@@ -21,7 +21,7 @@ LEAST = 2
 #: About how many labelled documents the classifier is fitted on, drawn by a hash of the id; all, if there are fewer.
 TRAIN_ROWS = 20_000
 TRAIN_PARTS = 12
-STEPS = 24
+STEPS = 48
 #: Documents that a feature is taken to have been seen in without effect.
 PRIOR = 8
 #: What ends a sentence.
@@ -153,7 +153,7 @@ class Model:
         return out, self.bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, steps: int = STEPS, rate: float = 1.0, l2: float = 0.2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, steps: int = STEPS, rate: float = 3.0, l2: float = 0.05) -> Model:
     """Fit on documents with a label of 0 or 1 (the larger, if several).
 
     Features are those of at least ``LEAST`` toxic documents; their weights start at the smoothed log odds of their documents
