@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, growth: int = 8) -> DataFrame:
-    """Classes of near-duplicate documents: doc_id, class_id, class_size, kept.
+    """Classes of near-duplicate documents: doc_id, class_id, class_size, kept, class_key.
 
     Texts of one word sequence are one node. Nodes that share a band are candidates; a link is a candidate pair whose exact
     probability Jaccard similarity is at least ``similarity``; classes are the connected components of the links.
@@ -189,24 +189,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     times as many pivots are compared with the members of other labels, and so on until all members that were no
     pivots have one label. Then every candidate pair of two classes has been verified, at any size of a bucket.
 
-    class_id is the smallest doc_id of a class; of its rows the first with that id is kept. Rows without words are one
-    class (equal word sequences). Null ids come after all others; a class of null ids alone has a null class_id.
+    class_key is a class's own key, from its least content; class_id is the smallest doc_id of a class, which several classes
+    share if an id stands on texts that are not alike; of a class's rows the first with that id is kept. Rows without words are
+    one class (equal word sequences). Null ids come after all others; a class of null ids alone has a null class_id.
     Ties and repeated rows are copies of one node. An empty table gives no rows; other columns are ignored.
     """
     batch_rows(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(_sketches(plain, words))
-    one = rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    rows = stored(_sketches(plain, words).withColumn("row", F.monotonically_increasing_id()))
+    # the least row of a content and then of a class by aggregation, so no id or class is gathered in one task
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "c1", "c2", "row"))
+    one = rows.groupBy("c1", "c2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stored(one.withColumn("node", F.monotonically_increasing_id()))
     labels = _labels(plain, nodes, words, similarity, growth)
-    classed = nodes.select("node", "c1", "c2", "first_id", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = classed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+    classed = nodes.select("node", "c1", "c2", "first", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = F.min(F.struct("c1", "c2"))
+    key = F.concat(F.lpad(F.hex(least["c1"]), 16, "0"), F.lpad(F.hex(least["c2"]), 16, "0"))
+    classes = classed.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"), key.alias("class_key"))
+    classes = classes.select("label", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row"), "class_size", "class_key")
     placed = classed.select("c1", "c2", "label").join(classes, "label").drop("label")
-    found = rows.select("doc_id", "c1", "c2").join(placed, ["c1", "c2"])
-    # the id is part of the key, so a class that holds many rows is many keys
-    same = Window.partitionBy("doc_id", "class_id").orderBy("c1", "c2")
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.row_number().over(same) == 1)
-    return found.withColumn("kept", kept).select("doc_id", "class_id", "class_size", "kept", "c1", "c2")
+    found = rows.select("doc_id", "c1", "c2", "row").join(placed, ["c1", "c2"])
+    return found.withColumn("kept", F.col("row") == F.col("kept_row")).select("doc_id", "class_id", "class_size", "kept", "class_key", "c1", "c2")
 
 
 def _labels(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, growth: int) -> DataFrame:
@@ -267,6 +270,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     one = tagged.join(kept, same, "left_semi")
     if found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & ~F.col("kept")).isEmpty():
         return one.select("row.*")
-    # an id comes more than once: the first row of those with the kept content
-    nth = F.row_number().over(Window.partitionBy("doc_id", "c1", "c2").orderBy("doc_id"))
-    return one.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    # an id comes more than once: any one row of those with the kept content
+    return one.groupBy("doc_id", "c1", "c2").agg(F.first("row").alias("row")).select("row.*")

@@ -107,3 +107,15 @@ def test_dropping_and_empty_table(messy, make, rows):
     assert kept.count() == len(classes)
     assert minhash.near_duplicates(make([])).count() == 0
     assert minhash.drop_near_duplicates(make([])).count() == 0
+
+
+def test_unlike_texts_of_null_or_equal_ids_are_all_kept(make):
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(5)]
+    docs = make([(None, texts[0], "s"), (None, texts[1], "s"), (None, texts[2], "s"), (7, texts[3], "s"), (7, texts[4], "s"), (None, texts[2], "s"), (7, texts[4], "s"), (8, texts[4], "s")])
+    got = minhash.near_duplicates(docs).collect()
+    sizes = {r["class_key"]: (r["class_id"], r["class_size"]) for r in got}
+    assert sorted(sizes.values(), key=repr) == sorted([(None, 1), (None, 1), (None, 2), (7, 1), (7, 3)], key=repr)
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == 5 and len({r["class_key"] for r in kept}) == 5 and all(r["doc_id"] == r["class_id"] for r in kept)
+    left = sorted((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(docs).fillna({"doc_id": -1}).collect())
+    assert left == sorted([(-1, texts[0]), (-1, texts[1]), (-1, texts[2]), (7, texts[3]), (7, texts[4])])
