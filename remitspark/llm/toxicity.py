@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,11 @@ TRAIN_PARTS = 12
 STEPS = 48
 #: Documents that a feature is taken to have been seen in without effect.
 PRIOR = 8
+#: Clean sentences of any number may add this much to a document's hazard; no more than ``MOST_LEVEL`` is taken off a sentence's
+#: own, so one that is likelier toxic than not always counts.
+CLEAN_HAZARD, MOST_LEVEL = 0.05, float(np.log(2.0))
+#: Edges of the histogram of clean sentences' hazards.
+EDGES = np.r_[0.0, np.geomspace(1e-7, MOST_LEVEL, 400)]
 #: What ends a sentence.
 ENDS = np.zeros(256, dtype=bool)
 ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -146,11 +151,21 @@ class Model:
     feature: np.ndarray  # sorted
     weight: np.ndarray
     bias: float
+    #: What is taken off each sentence's hazard: ``level[i]`` in documents of up to ``reach[i]`` sentences.
+    level: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    reach: np.ndarray = field(default_factory=lambda: np.full(1, np.inf))
 
-    def dense(self) -> tuple[np.ndarray, float]:
+    def dense(self) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
         out = np.zeros(FEATURES, dtype=np.float32)
         out[self.feature] = self.weight
-        return out, self.bias
+        return out, self.bias, self.level, self.reach
+
+
+def _noisy_or(s: Sentences, n: int, weight: np.ndarray, bias: float, level: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Each document's score: the noisy-or of what its sentences have above the level of its number of sentences."""
+    hazard = _softplus(_logits(s.feature, s.sentence, len(s.doc), weight, bias))
+    off = level[np.minimum(np.searchsorted(reach, np.bincount(s.doc, minlength=n)), len(level) - 1)]
+    return -np.expm1(-np.bincount(s.doc, weights=np.maximum(hazard - off[s.doc], 0.0), minlength=n))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, steps: int = STEPS, rate: float = 3.0, l2: float = 0.05) -> Model:
@@ -159,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, steps: in
     Features are those of at least ``LEAST`` toxic documents; their weights start at the smoothed log odds of their documents
     and then follow the gradient of the noisy-or's likelihood, 1 - prod(1 - p(sentence)) for a toxic document. Each
     step sums the gradient over the stored training rows on the executors; the driver holds one number for each
-    feature. About ``rows`` labels are drawn and broadcast. Without toxic or without clean documents the
+    feature. A last pass takes the hazards, -log(1 - p), of the clean documents' sentences, from which follows what is
+    taken off each sentence's in long documents, so that their length alone does not make them toxic. About ``rows`` labels are drawn and broadcast. Without toxic or without clean documents the
     score is the same for every sentence.
     """
     spark = docs.sparkSession
@@ -199,7 +215,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, steps: in
         model.unpersist()
         move = rate * (grad - l2 * np.r_[weight, 0.0]) / weigh
         weight, bias = weight + move[:-1], bias + move[-1]
-    return Model(features, weight, float(bias))
+    model = spark.sparkContext.broadcast((weight, bias))
+    found = np.zeros((2, len(EDGES)))
+    for r in data.mapInArrow(_clean_hazards(model), "h binary").toLocalIterator():
+        found += np.frombuffer(r["h"], np.float64).reshape(2, -1)
+    model.unpersist()
+    return Model(features, weight, float(bias), *_levels(*found))
+
+
+def _clean_hazards(model):
+    """Of a partition's clean documents: how many sentences have a hazard from each edge to the next, and the sums of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = model.value
+        out = np.zeros((2, len(EDGES)))
+        for b in batches:
+            for label, n, sentence, feature in zip(*(c.to_pylist() for c in b.columns)):
+                if label == 0:
+                    hazard = _softplus(_logits(np.frombuffer(feature, np.int32), np.frombuffer(sentence, np.int32), n, weight, bias))
+                    at = np.searchsorted(EDGES, hazard, side="right") - 1
+                    out += [np.bincount(at, minlength=len(EDGES)), np.bincount(at, weights=hazard, minlength=len(EDGES))]
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["h"])
+
+    return run
+
+
+def _levels(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels, and up to how many clean sentences have no more than ``CLEAN_HAZARD`` above each in all. Short documents have
+    level 0: all of their sentences' hazards count."""
+    above = np.cumsum(total[::-1])[::-1] - EDGES * np.cumsum(count[::-1])[::-1]
+    with np.errstate(divide="ignore"):
+        reach = np.where(above > 0, CLEAN_HAZARD * count.sum() / np.maximum(above, 1e-300), np.inf)
+    return EDGES, np.maximum.accumulate(reach)
 
 
 def _gradient(model):
@@ -237,13 +284,10 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, id_col: str
     shared = spark.sparkContext.broadcast(model.dense())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            s = sentences(b.column(1))
-            z = _logits(s.feature, s.sentence, len(s.doc), weight, bias)
-            out = -np.expm1(-np.bincount(s.doc, weights=_softplus(z), minlength=b.num_rows))
+            out = _noisy_or(sentences(b.column(1)), b.num_rows, *shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(out, 0.0, 1.0))], names=["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -256,7 +300,7 @@ def offending(docs: DataFrame, model: Model, *, threshold: float = 0.3, id_col:
     shared = docs.sparkSession.sparkContext.broadcast(model.dense())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = shared.value
+        weight, bias, *_ = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -297,13 +341,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            s = sentences(b.column(at))
-            z = _logits(s.feature, s.sentence, len(s.doc), weight, bias)
-            p = -np.expm1(-np.bincount(s.doc, weights=_softplus(z), minlength=b.num_rows))
+            p = _noisy_or(sentences(b.column(at)), b.num_rows, *shared.value)
             yield b.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)

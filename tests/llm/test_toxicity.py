@@ -63,3 +63,14 @@ def test_messy_rows_no_labels_and_empty_table(spark, make, messy, rows):
     assert kept.columns == messy.columns
     assert toxicity.toxic_rows(make([]), none).count() == 0
     assert toxicity.drop_toxic(make([]), none).count() == 0
+
+
+def test_length_alone_is_not_toxic(spark, make):
+    rows, labels = planted()
+    model = toxicity.fit(make(rows), spark.createDataFrame(labels, LABELS))
+    rng = np.random.default_rng(8)
+    long = {n: ". ".join(" ".join(f"word{k}" for k in rng.integers(0, 80, 7)) for _ in range(n)) + "." for n in (1, 200, 20_000)}
+    docs = make([(n, t, "s") for n, t in long.items()] + [(-n, t + " vile awful nasty.", "s") for n, t in long.items()])
+    flat = toxicity.Model(model.feature, model.weight, model.bias)
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, flat).collect()}[20_000] == 1  # without levels
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()} == {n: int(n < 0) for k in long for n in (k, -k)}
