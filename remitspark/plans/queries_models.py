@@ -332,9 +332,9 @@ def model_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on the same matrix: test-fold metrics (a short ensemble for the check)."""
+    """Boosted trees on the same matrix: test-fold metrics."""
     _, ready, _ = _logistic(spark, d)
-    model = modeling.fit_boosted(ready.where("fold = 'fit'"), LABEL, trees=10)
+    model = modeling.fit_boosted(ready.where("fold = 'fit'"), LABEL)
     scored_rows = modeling.raw_scores(model, ready.where("fold = 'test'")).selectExpr(f"cast({LABEL} as int) as y", "score")
     return evl.ranking_metrics(scored_rows, "y", "score")
 

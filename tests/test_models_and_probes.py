@@ -167,3 +167,26 @@ def test_cross_fitting_stops_memorised_categories(spark, data):
     df = data.withColumn("t", F.expr("cast(y as int)")).withColumn("id", F.expr("cast(k as string)"))
     auc = leakage.feature_auc(df, "k", "t", [], ["id"]).first()["auc"]
     assert auc < 0.6 and not math.isnan(auc)
+
+
+def test_gbt_query_fits_the_declared_ensemble(spark, monkeypatch):
+    import inspect
+
+    from remitspark.plans import queries_models as qm
+
+    real, got = inspect.signature(modeling.fit_boosted), {}
+
+    class Fitted(Exception):
+        pass
+
+    def fit(*args, **options):
+        bound = real.bind(*args, **options)
+        bound.apply_defaults()
+        got.update(bound.arguments)
+        raise Fitted
+
+    monkeypatch.setattr(qm.modeling, "fit_boosted", fit)
+    monkeypatch.setattr(qm, "_logistic", lambda s, d: (None, s.createDataFrame([("fit",)], "fold string"), None))
+    with pytest.raises(Fitted):
+        qm.gbt(spark, "unused")
+    assert got["trees"] == 300 == real.parameters["trees"].default
