@@ -44,19 +44,26 @@ def mix(
     0 and take 0; null sources are one source, the last. Repeated rows count each on their own; rows with equal id
     and size are interchangeable. Reruns agree. An empty table gives no rows.
     """
-    sized = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    return _mix(plain, weights, most, share, seed)
+
+
+def _mix(plain: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, share: float = 1.0, seed: int = 17, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``mix`` of (doc_id, text, source); the columns ``ties`` order rows of equal id and size and are in the result."""
+    sized = plain.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"),
+        *ties,
     ).withColumns({"_g": source_key(F.col("source")), "_key": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))})
-    ordered = prefix_sums(sized, "_g", ["_key", "doc_id", "size"], "size")
+    ordered = prefix_sums(sized, "_g", ["_key", "doc_id", "size", *ties], "size")
     # the prefix sums stand on stored rows, so the totals below read those and not the texts again
     targets = source_targets(ordered, weights, most, share)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - whole * F.col("source_size") - F.col("before")))
     return ordered.join(targets, "_g").select(
-        "doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), "source",
+        "doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), "source", *ties,
     )
 
 
@@ -84,16 +91,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     (the first words, white space as it was) where the budget ends within it. Documents without words are not in it."""
     id_col, text_col, source_col = (options.get(f"{k}_col", v) for k, v in (("id", "doc_id"), ("text", "text"), ("source", "source")))
     at = {"id": id_col, "text": text_col, "source": source_col}
-    plain = docs.select(*[F.col(f"`{at[k]}`").alias(v) for k, v in (("id", "doc_id"), ("text", "text"), ("source", "source"))])
-    taken = mix(plain, **{k: v for k, v in options.items() if not k.endswith("_col")})
-    taken = taken.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    # repeated rows of one id and source share what is taken of them evenly: all but the last whole number goes to each
-    keyed = rows.select("row", F.col(f"row.{id_col}").cast("long").alias("k_id"), F.col(f"row.{source_col}").alias("k_source"), word_count(F.col(f"row.{text_col}")).alias("k_size"))
-    same = F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_size") == F.col("size"))
-    joined = keyed.join(taken, same).withColumn("share", F.ceil(F.col("taken") / F.col("rows")).cast("long"))
-    copies = F.floor(F.col("share") / F.col("size")).cast("int")
-    over = (F.col("share") % F.col("size")).cast("int")
+    # the rows are stored with numbers of their own, by which what is taken of each comes back to it
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("row_id", F.monotonically_increasing_id()))
+    plain = rows.select(*[F.col(f"row.`{v}`").alias(k) for k, v in (("doc_id", at["id"]), ("text", at["text"]), ("source", at["source"]))], "row_id")
+    plain = plain.withColumn("digest", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    taken = _mix(plain, ties=("digest", "row_id"), **{k: v for k, v in options.items() if not k.endswith("_col")})
+    joined = rows.join(taken.filter("taken > 0").select("row_id", "size", "taken"), "row_id")
+    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
+    over = (F.col("taken") % F.col("size")).cast("int")
     pieces = joined.withColumn("words", F.explode(F.concat(F.array_repeat(F.col("size").cast("int"), copies), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<int>")))))
     text = F.col(f"row.{text_col}")
     # a part is the white space before a word and the word; the first n parts are the first n words

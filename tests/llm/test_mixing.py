@@ -75,3 +75,10 @@ def test_empty_table_and_no_words(make):
     assert mixing.mix(make([])).count() == 0
     assert [tuple(r)[1:5] for r in mixing.mix(make([(1, None, None), (2, " ", "a")])).collect()] == [(0, 0, 0.0, 0)] * 2
     assert mixing.mixed_documents(make([(1, None, None)])).count() == 0
+
+
+def test_rows_of_equal_id_and_size_are_taken_one_by_one(make):
+    rows = [(i, "x " * 50, "a") for i in range(100)] + [(None, f"t{i} " * 50, "b") for i in range(100)]
+    taken = sorted(x[4] for x in plain_mix(rows) if x[0] is None and x[4])
+    got = sorted(size(r["text"]) for r in mixing.mixed_documents(make(rows)).filter("source = 'b'").collect())
+    assert got == taken == [7] + [50] * 57
