@@ -33,7 +33,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES = 3, 3
 #: Up to this count a dish's tables are drawn from their exact conditional distribution.
 EXACT = 48
-#: Words whose share of the tokens is at least 1 / this get a prior of their own; contexts of a share of 1 / 1000 are split.
+#: Words whose share of the tokens is at least 1 / this are counted beforehand; contexts of a share of 1 / 1000 are split.
 FREQUENT = 1 << 15
 SPLIT = 1000
 
@@ -100,13 +100,11 @@ class Plan:
     parts: int
     word: np.ndarray
     share: np.ndarray
+    total: int = 1  # training tokens
 
-    def prior(self, w: np.ndarray) -> np.ndarray:
-        """A word's share among the training tokens, for seating; that of rarer words is half the least known."""
-        if not len(self.word):
-            return np.full(len(w), 1e-6)
-        at = np.minimum(np.searchsorted(self.word, w), len(self.word) - 1)
-        return np.where(self.word[at] == w, self.share[at], 0.5 / FREQUENT / 4)
+    def by_word(self, w: np.ndarray) -> np.ndarray:
+        """The partition of words that sums up a word."""
+        return (mixed(w ^ np.uint64(11)) % np.uint64(self.parts)).astype(np.int64)
 
     def splits(self, u: np.ndarray) -> np.ndarray:
         """Over how many partitions a context is spread."""
@@ -160,8 +158,8 @@ def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], names=list(columns))
 
 
-def _blob_rows(plan, by_doc: bool):
-    """Chunks as rows (part, kind 0, chunk, blob); the chunk's first blob also carries its texts' ids."""
+def _blob_rows(plan, by_doc: bool, words_only: bool = False):
+    """Chunks as rows (part, kind 0, chunk, blob); the chunk's first blob also carries its texts' ids. ``words_only``: words and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches):
@@ -169,6 +167,8 @@ def _blob_rows(plan, by_doc: bool):
             for part, u, u_n, w, w_i, doc, count, train in _entries(c, plan.value, by_doc):
                 if by_doc:
                     blob = pack(u, _small(u_n), w, _small(w_i), _small(doc), _small(count), c.held.astype(np.uint8), *meta)
+                elif words_only:
+                    blob = pack(w, _small(np.bincount(w_i, weights=train, minlength=len(w)).astype(np.int64)))
                 else:
                     blob = pack(u, _small(u_n), w, _small(w_i), _small(train))
                 meta = []
@@ -264,9 +264,10 @@ class Part:
     tables: list[np.ndarray]
 
 
-def _part(u: np.ndarray, w: np.ndarray, train: np.ndarray, plan: Plan, part: int) -> tuple[Part, np.ndarray]:
+def _part(u: np.ndarray, w: np.ndarray, train: np.ndarray, told: np.ndarray, plan: Plan, part: int) -> tuple[Part, np.ndarray]:
     """The restaurants of a partition, and the pair of each entry. The draws depend on the counts only, so that the
-    partition can be seated again with the same result."""
+    partition can be seated again with the same result. ``told``: the words' counts in all training texts, in the order of the requests;
+    a word's prior is its share of the training tokens."""
     us, ui = np.unique(u, return_inverse=True)
     ws, wi = np.unique(w, return_inverse=True)
     key = ui * np.int64(len(ws)) + wi
@@ -277,28 +278,61 @@ def _part(u: np.ndarray, w: np.ndarray, train: np.ndarray, plan: Plan, part: int
     pair_u, pair_w = pairs // max(len(ws), 1), pairs % max(len(ws), 1)
     known = np.flatnonzero(count)
     tables = []
+    assert len(told) == len(ws), "answers do not fit the requests"
+    prior = np.empty(len(ws))
+    prior[np.argsort(plan.by_word(ws), kind="stable")] = told / max(plan.total, 1)
     rng = np.random.default_rng([17, part])
     # only pairs that training texts have take part in the seating, in the order of context and word
-    for t in seat(count[known], plan.prior(ws[pair_w[known]]), pair_u[known], len(us), plan.splits(us).astype(float), DISCOUNT, STRENGTH, rng):
+    for t in seat(count[known], prior[pair_w[known]], pair_u[known], len(us), plan.splits(us).astype(float), DISCOUNT, STRENGTH, rng):
         full = np.zeros(len(pairs), np.int64)
         full[known] = t
         tables.append(full)
     return Part(us, ws, pair_u, pair_w, count, tables), at
 
 
+def _asked(plan_b):
+    """Each partition's words and their counts, by the partition of words that sums them up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: Plan = plan_b.value
+        for part, rows in _by_key(batches):
+            blobs = [unpack(r[2]) for r in rows]
+            words, at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+            count = np.bincount(at, weights=np.concatenate([b[1] for b in blobs]), minlength=len(words)).astype(np.int64)
+            to_part = plan.by_word(words)
+            for to in np.unique(to_part).tolist():
+                own = to_part == to
+                yield _rows({"part": ([to], pa.int64()), "kind": ([1], pa.int32()), "source": ([part], pa.int64()), "blob": ([pack(words[own], _small(count[own]))], pa.binary())})
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words' counts in all training texts, to every partition that asked, in its order."""
+    for part, rows in _by_key(batches):
+        blobs = [unpack(r[2]) for r in rows]
+        words, at = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([b[1] for b in blobs]), minlength=len(words)).astype(np.int64)
+        edge = np.cumsum([0, *(len(b[0]) for b in blobs)])
+        for i, r in enumerate(rows):
+            blob = pack(_small(count[at[edge[i] : edge[i + 1]]]))
+            yield _rows({"part": ([r[1]], pa.int64()), "kind": ([1], pa.int32()), "source": ([part], pa.int64()), "blob": ([blob], pa.binary())})
+
+
 def _requests(plan_b):
     """Each partition's word counts and tables, by the partition of words that sums them up; and of split contexts the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Plan = plan_b.value
         for part, rows in _by_key(batches):
-            blobs = [unpack(r[2]) for r in rows]
+            blobs = [unpack(r[2]) for r in rows if r[0] == 0]
+            told = np.concatenate([unpack(r[2])[0] for r in sorted((r for r in rows if r[0] == 1), key=lambda r: r[1])])
             u = np.concatenate([np.repeat(b[0], b[1]) for b in blobs])
             w = np.concatenate([b[2][b[3]] for b in blobs])
-            p, _ = _part(u, w, np.concatenate([b[4] for b in blobs]), plan, part)
+            p, _ = _part(u, w, np.concatenate([b[4] for b in blobs]), told, plan, part)
             n = len(p.w)
             sums = [np.bincount(p.pair_w, weights=x, minlength=n).astype(np.int64) for x in (p.count, *p.tables)]
-            at = (mixed(p.w ^ np.uint64(11)) % np.uint64(plan.parts)).astype(np.int64)
+            at = plan.by_word(p.w)
             for to in np.unique(at).tolist():
                 own = at == to
                 yield _rows({"part": ([to], pa.int64()), "kind": ([1], pa.int32()), "source": ([part], pa.int64()), "blob": ([pack(p.w[own], *(_small(x[own]) for x in sums))], pa.binary())})
@@ -361,12 +395,10 @@ def _scores(plan_b, totals: list[int], hot: list[np.ndarray]):
             rows.clear()
             u, w, count, train = (np.concatenate(column) for column in entries)
             entries.clear()
-            p, at = _part(u, w, train, plan, part)
-            del u, w, train
-            place = (mixed(p.w ^ np.uint64(11)) % np.uint64(plan.parts)).astype(np.int64)
-            order = np.argsort(place, kind="stable")  # the order of the requests
             got = [np.concatenate([b[i] for _, b in replies]).astype(np.int64) for i in range(1 + 2 * SAMPLES)]
-            assert len(got[0]) == len(order), "answers do not fit the requests"
+            p, at = _part(u, w, train, got[0], plan, part)
+            del u, w, train
+            order = np.argsort(plan.by_word(p.w), kind="stable")  # the order of the requests
             info = [np.empty(len(order), np.int64) for _ in got]
             for x, y in zip(info, got):
                 x[order] = y
@@ -430,7 +462,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     """Log10 probabilities of all texts under a model learned from those that are not held out.
 
     A text's tokens are its words (runs without white space, A-Z folded) and one end. 1. The most frequent words are
-    counted (at most ``FREQUENT``). 2. The training counts go, chunk by chunk, to partitions of contexts; a context of a
+    counted (at most ``FREQUENT``), to split contexts. 2. Each partition of contexts is told its words' counts in all training
+    texts, their priors. The training counts go, chunk by chunk, to partitions of contexts; a context of a
     thousandth of all tokens is spread by the next word. Each partition seats its customers. 3. Partitions of words sum up
     counts and tables and seat the parent's customers. 4. All texts' pairs go to the partitions of contexts, which
     seat the same counts in the same way again and score them with probabilities averaged over the samples. Partitions
@@ -453,9 +486,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     order = np.argsort(words)
     share = np.array([r["n"] for r in frequent], float)[order] / max(total, 1)
     parts = min(30_000, max(least_parts, total // part_tokens))  # a partition's number has 15 bits in the keys
-    plan = spark.sparkContext.broadcast(Plan(parts, words[order], share))
+    plan = spark.sparkContext.broadcast(Plan(parts, words[order], share, int(total)))
 
-    pairs = _gathered(plain.mapInArrow(_blob_rows(plan, False), _BLOBS), parts, "part")
+    asked = _gathered(plain.mapInArrow(_blob_rows(plan, False, words_only=True), _BLOBS), parts, "part").mapInArrow(_asked(plan), _BLOBS)
+    told = stored(_gathered(asked, parts, "part").mapInArrow(_told, _BLOBS))
+    pairs = _gathered(plain.mapInArrow(_blob_rows(plan, False), _BLOBS).unionByName(told), parts, "part")
     requests = _gathered(pairs.mapInArrow(_requests(plan), _BLOBS), parts, "part")
     answers = stored(requests.mapInArrow(_answers(plan), _BLOBS + ", sums array<long>"))
     sizes = 2 + 2 * SAMPLES

@@ -78,3 +78,30 @@ def test_no_training_text_and_empty_table(make):
     only = lm.score(make([(i, "a b", "s")]), least_parts=3).collect()
     assert only[0]["n_known"] == 0 and only[0]["train_tokens"] == 0 and math.isfinite(only[0]["score"])
     assert lm.score(make([])).count() == 0
+
+
+def test_prior_of_a_rare_word_is_its_own_share(monkeypatch):
+    import pyarrow as pa
+
+    plan = lm.Plan(2, np.zeros(0, np.uint64), np.zeros(0), 10**8)
+    shared = type("Shared", (), {"value": plan})
+    words = np.arange(100, 130, dtype=np.uint64)
+    blobs = {0: [(words[:20], np.arange(1, 21))], 1: [(words[10:], np.arange(1, 21)), (words[10:12], np.array([5, 0]))]}
+    total = Counter()
+    for w, n in (x for part in blobs.values() for x in part):
+        total.update(dict(zip(w.tolist(), n.tolist())))
+    rows = [(p, 0, i, lm.pack(w, n)) for p, part in blobs.items() for i, (w, n) in enumerate(part)]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*sorted(rows, key=lambda r: r[0]))], names=["part", "kind", "source", "blob"])
+
+    def flat(out):
+        return [tuple(c[0].as_py() for c in b.columns) for b in out]
+
+    told = flat(lm._told(iter([batch(flat(lm._asked(shared)(iter([batch(rows)]))))])))
+    priors = []
+    monkeypatch.setattr(lm, "seat", lambda c, prior, *rest: (priors.append(prior), iter([np.ones(len(c), np.int64)]))[1])
+    for part, own in ((0, words[:20]), (1, words[10:])):
+        counts = np.concatenate([lm.unpack(r[3])[0] for r in sorted((r for r in told if r[0] == part), key=lambda r: r[2])])
+        lm._part(np.full(len(own), 5, np.uint64), own, np.full(len(own), 3), counts, plan, part)
+        assert priors[-1].tolist() == [total[w] / 1e8 for w in own.tolist()]
