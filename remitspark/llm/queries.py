@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lm, minhash, mixing, packing, repeats, sharding, topk, toxicity, urls
+from . import audit, exact, lm, minhash, mixing, packing, repeats, sharding, topk, toxicity, urls
 from .common import table
 
 
@@ -49,4 +49,8 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op5_language_model, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup)}
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.audit_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op5_language_model, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup, op12_filter_audit)}

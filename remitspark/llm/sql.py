@@ -55,4 +55,42 @@ g AS (SELECT doc_id, text_sha256, max(doc_id) OVER (PARTITION BY body) AS keep_i
 SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND nth = 1) AS kept, text_sha256 FROM g
 """
 
-SQL = {"op2_topk": OP2, "op6_mixing": OP6, "op10_exact_dedup": OP10}
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), f AS (
+  SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS fails,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic
+  FROM d
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM l a, l b, l c, l d, l e WHERE a.b | b.b | c.b | d.b | e.b = 31
+), steps AS (
+  SELECT filter_order, s.step, bits[s.step] AS b, CAST(coalesce(list_sum(bits[1:s.step - 1]), 0) AS INTEGER) AS earlier
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) s
+), counted AS (
+  SELECT part, filter_order, step, b,
+    sum(CASE WHEN fails & (earlier | b) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & b > 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & b > 0 AND fails & earlier > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = b THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & b > 0 AND fails & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & b > 0 AND fails & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps, g GROUP BY part, filter_order, step, b
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM counted
+"""
+
+SQL = {"op2_topk": OP2, "op6_mixing": OP6, "op10_exact_dedup": OP10, "op12_filter_audit": OP12}
