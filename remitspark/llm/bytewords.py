@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,6 +70,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def byte_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Cut a batch into ranges of texts (first, after the last) of at most ``limit`` bytes each; a longer text is on its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        before = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 @dataclass
 class Words:
     start: np.ndarray  # first byte of each word

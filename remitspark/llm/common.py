@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Rows of an Arrow batch from now on: texts and blocks may be long, and a worker's memory is bounded by the batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    on_path(spark)
+
+
+def on_path(spark: SparkSession) -> None:
+    """Let Python workers find the package; for functions that cut the batches themselves and leave the session's sizes alone."""
     # workers on this machine find the package wherever the driver was started from; a cluster has it installed
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

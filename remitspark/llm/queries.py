@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, exact, lm, minhash, mixing, packing, repeats, sharding, topk, toxicity, urls
+from . import audit, chat, exact, lm, minhash, mixing, packing, repeats, runs, sharding, topk, toxicity, urls
 from .common import table
 
 
@@ -49,8 +49,19 @@ def op10_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_dedup(table(spark, d, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.run_rows(runs.periodic_runs(runs.with_periods(table(spark, d, "documents"))))
+
+
 def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit_documents(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op5_language_model, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup, op12_filter_audit)}
+def op13_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_chats(chat.fold_log(chat.as_log(turns.unionByName(extra)))))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_topk, op3_repeats, op4_toxicity, op5_language_model, op6_mixing, op7_urls, op8_packing, op9_sharding, op10_exact_dedup, op11_periodic_runs, op12_filter_audit, op13_chat_format)}

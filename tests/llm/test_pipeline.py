@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registered_queries():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(sql.SQL) <= set(queries.QUERIES) and set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
@@ -19,7 +19,7 @@ def test_queries_match_sql(spark, name):
     from tools.check_oracle import canonical
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     mine = queries.QUERIES[name](spark, SF).toPandas()
     theirs = con.execute(sql.SQL[name]).df()
