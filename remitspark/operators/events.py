@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
+from ..session import pin
 from .ordering import number_in_group
 
+#: Between two steps of a path's text, and the steps of a piece of it.
+PATH_ARROW, PATH_BLOCK = " -> ", 10_000
+
 
 def strongest_contributor(contributions: Mapping[str, str], fallback: str = "baseline") -> str:
     """SQL text: name of the largest contribution; ties go to the first name in alphabetical
@@ -99,22 +103,49 @@ def totals_before_boundary(
     )
 
 
-def path_variants(events: DataFrame, case: str, order_by: Sequence[str], kind: str) -> DataFrame:
-    """Ordered event path per case and how many cases follow it: (path, claims, share).
+def path_fingerprints(events: DataFrame, case: str, order_by: Sequence[Column | str], kind: str) -> DataFrame:
+    """(case, length, print_a, print_b): 128 bits of each case's ordered path of event types.
 
-    Each case's list holds its own events only.
+    A path is the set of its (place, type) pairs, so it is the exclusive-or of their hashes: that combines in any order and on the
+    map side, and a case of a third of all events is many tasks, in the numbering (one range exchange) and here.
     """
-    paths = events.groupBy(case).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(*order_by, F.col(kind).alias("_k")))), lambda e: e["_k"]
-            ),
-            " -> ",
-        ).alias("path")
+    placed = number_in_group(events.select(case, *_columns(order_by), F.col(kind).alias("_k")), [case], order_by, "_place")
+    return _printed(placed, case)
+
+
+def _columns(order_by: Sequence[Column | str]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order_by]
+
+
+def _printed(placed: DataFrame, case: str) -> DataFrame:
+    one = [F.xxhash64(F.lit(seed), "_place", "_k") for seed in (11, 23)]
+    return placed.groupBy(case).agg(
+        F.count(F.lit(1)).alias("length"), F.bit_xor(one[0]).alias("print_a"), F.bit_xor(one[1]).alias("print_b")
     )
-    counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("claims"))
+
+
+def path_variants(events: DataFrame, case: str, order_by: Sequence[str], kind: str) -> DataFrame:
+    """Ordered event path per case and how many cases follow it: (path, claims, share). Events without a type are no part of the text.
+
+    Cases are counted by the fingerprint of their path; the text is put together for one case of each distinct path only,
+    first within each range of the sorted events, then from these few pieces.
+    """
+    narrow = events.select(case, *order_by, F.col(kind).alias("_k"))
+    placed = pin(number_in_group(narrow, [case], order_by, "_place"))
+    counts = _printed(placed, case).groupBy("length", "print_a", "print_b").agg(F.count(F.lit(1)).alias("claims"), F.min(F.struct(F.col(case))).alias("_one"))
+    counts = pin(counts.select("claims", F.col(f"_one.{case}").alias("_case")))
     total = counts.agg(F.sum("claims").alias("n"))
-    return counts.withColumn("share", F.col("claims") / total.scalar())
+    # places are dense, so a block of places is a bounded group, also of a hot case
+    block = F.floor((F.col("_place") - F.lit(1)) / F.lit(PATH_BLOCK)).alias("_block")
+    chosen = placed.join(counts.select("_case"), F.col(case).eqNullSafe(F.col("_case")), "left_semi").where("_k is not null")
+    pieces = chosen.groupBy(case, block).agg(_in_order("_place", "_k").alias("_text"))
+    texts = pieces.groupBy(case).agg(_in_order("_block", "_text").alias("path"))
+    found = counts.join(texts, F.col(case).eqNullSafe(F.col("_case")), "left")
+    return found.select(F.coalesce("path", F.lit("")).alias("path"), "claims", (F.col("claims") / total.scalar()).alias("share"))
+
+
+def _in_order(place: str, text: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda e: e[text]), PATH_ARROW)
 
 
 def rework_funnel(events: DataFrame, case: str, kind: str, stages: Mapping[str, Sequence[str]]) -> DataFrame:

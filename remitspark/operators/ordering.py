@@ -8,13 +8,18 @@ by the totals of the partitions before it. The offsets have one row per partitio
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from decimal import Decimal, localcontext
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import hash_long
-from ..session import pin
+from ..session import package_on_path, pin
 
 _PART = "_part"
 _LOCAL_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -77,9 +82,121 @@ def with_position(
     )
 
 
-def _earlier(groups: Sequence[str] = ()) -> Window:
-    # one row per range partition and group
-    return Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+def _sum_type(t: T.DataType) -> T.DataType:
+    """The type in which Spark sums a column of type ``t``."""
+    if isinstance(t, T.DecimalType):
+        return T.DecimalType(min(38, t.precision + 10), t.scale)
+    return T.DoubleType() if isinstance(t, (T.DoubleType, T.FloatType)) else T.LongType()
+
+
+def _boundaries(columns: list[pa.Array], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows differ in the given columns from the row before them, and the last row's values."""
+    rows = len(columns[0]) if columns else 0
+    new = np.zeros(rows, dtype=bool)
+    for c in columns:
+        ahead, behind = c.slice(1), c.slice(0, rows - 1)
+        same = pc.fill_null(pc.equal(ahead, behind), False)
+        both = pc.and_(pc.is_null(ahead), pc.is_null(behind))
+        new[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+    first = tuple(c[0].as_py() for c in columns)
+    new[0] = last is None or first != last
+    return new, tuple(c[rows - 1].as_py() for c in columns)
+
+
+def _cumulated(values: pa.Array, starts: np.ndarray, run: np.ndarray, carried):
+    """Sums of ``values`` up to each row of its run; ``carried`` is what the first run has from earlier batches."""
+    if pa.types.is_decimal(values.type):
+        out, total, fresh = [], carried, set(starts.tolist())
+        with localcontext() as exact:
+            exact.prec = 80
+            for i, v in enumerate(values.to_pylist()):
+                total = (Decimal(0) if i in fresh else total) + (v or 0)
+                out.append(total)
+        return pa.array(out, values.type), total
+    v = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+    if v.dtype.kind == "f":  # no difference of long sums: a run's sums begin at its own first row
+        out = np.empty(len(v))
+        edges = np.r_[0, starts[starts > 0], len(v)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            np.cumsum(v[i:j], out=out[i:j])
+        out[run == 0] += carried
+    else:
+        total = np.cumsum(v)
+        base = np.r_[0, np.where(starts > 0, total[starts - 1], 0)]
+        out = total - base[run]
+        out[run == 0] += carried
+    return pa.array(out), out[-1].item()
+
+
+def sorted_pass(
+    df: DataFrame,
+    order_by: Sequence[Column | str],
+    totals: Mapping[str, str],
+    groups: Sequence[str] = (),
+    partitions: int | None = None,
+) -> DataFrame:
+    """Number the rows of every group in the given order and sum columns up to each row, in one range exchange.
+
+    Rows are range-partitioned and sorted by (groups, order); one pass over each sorted partition numbers and sums the runs of equal
+    groups. Only the first run of a partition can have begun earlier: what came before it is found from at most two rows for
+    each partition and added by a broadcast of one row for each. A group of a third of all rows is many partitions, and no second
+    exchange of the rows follows. Null is a group. Returns the columns of ``df``, ``_number`` (from 1) and ``totals`` (name: column).
+    """
+    n = _partitions(df, partitions)
+    keys = [*[F.col(g).asc_nulls_first() for g in groups], *_orders(order_by)]
+    names, kinds = df.columns, {f.name: f.dataType for f in df.schema.fields}
+    sums = {f"_sum_{i}": c for i, c in enumerate(totals.values())}
+    typed = df.select("*", *[F.col(c).cast(_sum_type(kinds[c])).alias(f"{s}_in") for s, c in sums.items()])
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    fields += [T.StructField("_number", T.LongType()), *[T.StructField(s, _sum_type(kinds[c])) for s, c in sums.items()]]
+    fields += [T.StructField("_border", T.IntegerType()), T.StructField("_begun", T.BooleanType())]
+    at = [names.index(g) for g in groups]
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, number, carried = None, None, 0, [0] * len(sums)
+        begun, first_row = True, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                yield pa.RecordBatch.from_arrays(held[0], names=held[1])
+            new, last = _boundaries([b.column(i) for i in at], last) if at else (np.zeros(b.num_rows, bool), last)
+            if at and first_row:
+                new[0] = False
+            starts = np.flatnonzero(new)
+            which = np.cumsum(new)
+            count = np.arange(1, b.num_rows + 1)
+            local = count - np.r_[0, starts][which]
+            local[which == 0] += number
+            columns = []
+            for k in range(len(sums)):
+                out, carried[k] = _cumulated(b.column(width + k), starts, which, carried[k] if not (len(starts) and starts[0] == 0) else 0)
+                columns.append(out)
+            border = np.zeros(b.num_rows, np.int32)
+            border[0] += first_row  # 1: first row of its partition, 2: last row, 3: both
+            held = ([*b.columns[:width], pa.array(local), *columns, pa.array(border), pa.array((which == 0) & begun)], [*names, "_number", *sums, "_border", "_begun"])
+            number = int(local[-1])
+            begun, first_row = begun and not len(starts), False
+        if held is not None:
+            border = held[0][-2].to_numpy(zero_copy_only=False).copy()
+            border[-1] += 2
+            held[0][-2] = pa.array(border)
+            yield pa.RecordBatch.from_arrays(held[0], names=held[1])
+
+    package_on_path(df.sparkSession)
+    passed = typed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, T.StructType(fields))
+    pinned = pin(passed.withColumn(_PART, F.spark_partition_id()))
+    # what came before a partition's first run: the last runs of the same group in earlier partitions
+    ends = pinned.where("_border >= 2").select(_PART, *groups, F.lit(1).alias("_end"), "_number", *sums)
+    heads = pinned.where("_border in (1, 3)").select(_PART, *groups, F.lit(0).alias("_end"), F.lit(0).alias("_number"), *[F.lit(0).cast(_sum_type(kinds[c])).alias(s) for s, c in sums.items()])
+    earlier = Window.partitionBy(*groups).orderBy(_PART, "_end").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.unionByName(heads).select(
+        F.col(_PART).alias("_at"), "_end", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b{i}") for i, c in enumerate(["_number", *sums])]
+    ).where("_end = 0")
+    joined = pinned.join(F.broadcast(before), (F.col(_PART) == F.col("_at")) & F.col("_begun"), "left")
+    shifted = [(F.col(c) + F.coalesce(F.col(f"_b{i}"), F.lit(0))).alias(name) for i, (c, name) in enumerate(zip(["_number", *sums], ["_number", *totals]))]
+    return joined.select(*names, *shifted)
 
 
 def running_totals(
@@ -92,55 +209,20 @@ def running_totals(
 ) -> DataFrame:
     """Cumulative sums in the given order, per group, however large a single group is.
 
-    ``totals`` maps output names to the summed expression. Rows of one group are spread over the
-    range partitions, so a group holding a third of the rows is still many tasks. The order
-    must be total within a group (aggregate equal values first).
+    ``totals`` maps output names to the summed expression. The order must be total within a group (aggregate equal
+    values first). One range exchange, see :func:`sorted_pass`.
     """
-    named = {f"_v{i}": expr for i, expr in enumerate(totals.values())}
-    pinned = range_sorted(df.select("*", *[e.alias(k) for k, e in named.items()]), order_by, partitions)
-    inside = (
-        Window.partitionBy(_PART, *groups)
-        .orderBy(*_orders(order_by))
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    per_part = pinned.groupBy(_PART, *groups).agg(*[F.sum(k).alias(f"{k}_t") for k in named])
-    before = per_part.select(
-        _PART,
-        *groups,
-        *[F.coalesce(F.sum(f"{k}_t").over(_earlier(groups)), F.lit(0)).alias(f"{k}_b") for k in named],
-    )
-    local = pinned.select("*", *[F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"{k}_c") for k in named])
-    on = F.lit(True)
-    for key in (_PART, *groups):
-        on = on & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    # equality on the partition number keeps this an equi-join; null-safe for null groups
-    joined = local.alias("l").join(before.alias("r"), on)
-    keep = [F.col(f"l.{c}") for c in df.columns]
-    out = [
-        (F.col(f"{k}_c") + F.col(f"{k}_b")).alias(name) for k, name in zip(named, totals)
-    ]
-    return joined.select(*keep, *out)
+    named = {f"_v{i}": F.coalesce(e, F.lit(0)) for i, e in enumerate(totals.values())}
+    summed = sorted_pass(df.select("*", *[e.alias(k) for k, e in named.items()]), order_by, {f"{k}_c": k for k in named}, groups, partitions)
+    own = {k: F.lit(0) if inclusive else F.col(k) for k in named}
+    return summed.select(*df.columns, *[(F.col(f"{k}_c") - own[k]).alias(name) for k, name in zip(named, totals)])
 
 
 def number_in_group(
     df: DataFrame, group: Sequence[str], order_by: Sequence[Column | str], name: str, partitions: int | None = None
 ) -> DataFrame:
-    """1..n inside each group (null is a group), however many rows one group holds.
-
-    Rows get a global position in (group, order); the group's first position is then subtracted.
-    Rows meet that first position by (range partition, group), so a group that spans many
-    partitions is numbered by all of them.
-    """
-    placed = with_position(df, [*group, *order_by], "_gpos", partitions, keep_part=True)
-    starts = placed.groupBy(_PART, *group).agg(F.expr("min(_gpos) as _first")).selectExpr(
-        _PART, *group, f"min(_first) over (partition by {', '.join(group)}) as _gfirst"
-    )
-    on = F.lit(True)
-    for k in (_PART, *group):
-        on = on & F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}"))
-    return placed.alias("v").join(starts.alias("s"), on).selectExpr(
-        *[f"v.{c} as {c}" for c in df.columns], f"_gpos - _gfirst + 1 as {name}"
-    )
+    """1..n inside each group (null is a group), however many rows one group holds; one range exchange."""
+    return sorted_pass(df, order_by, {}, group, partitions).select(*df.columns, F.col("_number").alias(name))
 
 
 def mid_ranks(df: DataFrame, value: str, partitions: int | None = None) -> DataFrame:

@@ -77,15 +77,84 @@ curve as (select *, case when max((deaths = at_risk)::int) over ({part}order by
   exp(sum(case when deaths < at_risk then ln(1 - cast(deaths as double) / at_risk) else 0 end) over ({part}order by t)) end as survival from risk)"""
 
 
-_CHI = """
+_CHI_CTES = """
 cells as (select a, b, count(*) as n from src where a is not null and b is not null group by a, b),
 m as (select *, cast(sum(n) over (partition by a) as double) as ra, cast(sum(n) over (partition by b) as double) as rb,
   cast(sum(n) over () as double) as t from cells),
-stat as (select {stat} as chi2, count(distinct a) as r, count(distinct b) as k, max(t) as n from m)
-select round(chi2, 6) as chi2, (r - 1) * (k - 1) as dof, round(n, 6) as n,
-  round(sqrt(greatest(0, chi2 / n - (k - 1) * (r - 1) / (n - 1)) / (least(k - (k - 1) * (k - 1) / (n - 1), r - (r - 1) * (r - 1) / (n - 1)) - 1)), 6) as cramers_v
+stat as (select {stat} as chi2, count(distinct a) as r, count(distinct b) as k, max(t) as n from m)"""
+
+_CHI = """select round(chi2, 6) as chi2, (r - 1) * (k - 1) as dof, round(n, 6) as n,
+  round(sqrt(greatest(0, chi2 / n - (k - 1) * (r - 1) / (n - 1)) / (least(k - (k - 1) * (k - 1) / (n - 1), r - (r - 1) * (r - 1) / (n - 1)) - 1)), 6) as cramers_v,
+  round({p}, 6) as p_value
 from stat"""
 
+_PAYER_TERMS = [("sim_payer_id", "payer", ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))]
+_LINE_TERMS = [("sim_service_line_id", "service_line", ("NEURO", "ORTHO", "RESPIRATORY", "UNKNOWN"))]
+_FACTOR_TERMS = [(f"{n}={v}", f"({c} = '{v}')::int") for n, c, levels in (*_PAYER_TERMS, *_LINE_TERMS) for v in levels]
+_CASE_TERMS = [
+    ("intercept", "1"), ("sim_auth_missing", "auth_missing::int"), ("sim_eligibility_failed", "elig_failed::int"), ("doc_incomplete", "(not doc_complete)::int"), *_FACTOR_TERMS,
+]
+_LOGIT_TERMS = [
+    ("intercept", "1"), ("sim_auth_missing", "auth_missing::int"), ("sim_coding_specificity_deficit", "deficit::int"),
+    ("sim_documentation_complete", "doc_complete::int"), *_FACTOR_TERMS,
+]
+
+
+def _newton(terms: list[tuple[str, str]], steps: int = 12) -> list[str]:
+    """Logistic regression of denied in SQL: Newton steps on covariate patterns, each solved by Gauss-Jordan elimination.
+
+    nr has a row for each elimination step; fit is the last one, with the coefficients and the inverse information matrix.
+    """
+    p = len(terms)
+    at = range(1, p + 1)
+    ones = {i: ["1.0" if i == j else "0.0" for j in at] for i in at}
+    matrix = ", ".join(
+        "[" + ", ".join([*(f"sum(n * mu * (1 - mu) * x[{i}] * x[{j}])" for j in at), f"sum((y - n * mu) * x[{i}])", *ones[i]]) + "]" for i in at
+    )
+    x = ", ".join(f"cast({sql} as double)" for _, sql in terms)
+    return [
+        f"""pat as materialized (select [{x}] as x, cast(count(*) as double) as n, cast(sum(denied::int) as double) as y
+  from claims where list_sum([{x}]) is not null and payer is not null and service_line is not null and elig_failed is not null group by 1)""",
+        f"""nr as (select 0 as it, 0 as i, list_transform(range(0, {p}), lambda z: 0.0::double) as b, cast(null as double[][]) as m
+union all
+select case when i = {p + 1} then it + 1 else it end, case when i = {p + 1} then 0 else i + 1 end,
+  case when i = {p + 1} then list_transform(range(1, {p + 1}), lambda j: b[j] + m[j][{p + 1}]) else b end,
+  case when i = 0 then a when i <= {p} then list_transform(range(1, {p + 1}), lambda j: case when j = i
+    then list_transform(m[i], lambda v: v / m[i][i]) else list_transform(range(1, {2 * p + 2}), lambda t: m[j][t] - m[j][i] * m[i][t] / m[i][i]) end) else m end
+from (select any_value(it) as it, any_value(i) as i, any_value(b) as b, any_value(m) as m, [{matrix}] as a
+  from (select nr.*, pat.*, 1 / (1 + exp(-list_dot_product(x, b))) as mu from nr, pat where it < {steps}))
+where it is not null)""",
+        f"fit as materialized (select b, m from nr where it = {steps - 1} and i = {p + 1})",
+    ]
+
+
+def _recursive(sql: str) -> str:
+    return "with recursive" + sql[4:]
+
+
+def _term_rows(terms: list[tuple[str, str]]) -> str:
+    names = ", ".join(f"'{t}'" for t, _ in terms)
+    return f"terms as (select unnest([{names}]) as term, unnest(range(1, {len(terms) + 1})) as k)"
+
+
+#: Two-sided normal tail: erf by its series of positive terms.
+_NORMAL_P = (
+    "greatest(0, 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 300), "
+    "lambda i: case when z = 0 then 0 else exp(i * ln(2) + (2 * i + 1) * ln(abs(z) / sqrt(2)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1))) end)))"
+)
+
+
+def chi2_p(statistic: str, dof: str) -> str:
+    """Upper tail of chi-square: the lower incomplete gamma function by its series of positive terms."""
+    a, x = f"({dof} / 2.0::double)", f"({statistic} / 2.0::double)"
+    return (
+        f"case when {dof} < 1 then null when {statistic} <= 0 then 1 else greatest(0, 1 - list_sum(list_transform(range(0, 4000), "
+        f"lambda i: exp(({a} + i) * ln({x}) - {x} - lgamma({a} + i + 1))))) end"
+    )
+
+
+_KRUSKAL_H = "((12.0::double / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)))"
+
 SQL = {
     "prior_rates": with_claims(
         "select * from final",
@@ -175,20 +244,21 @@ select case_id, {', '.join(f"cast({a}_c as double) / 100 as {a}_minutes, {a}_eve
         _km("payer"),
     ),
     "chi2": with_claims(
-        "select round" + _CHI.strip().split("select round", 1)[1],
+        _CHI.format(p=chi2_p("chi2", "((r - 1) * (k - 1))")),
         "src as (select payer as a, denied as b from claims)",
-        _CHI.strip().split("\nselect round", 1)[0].format(stat="sum(power(n - ra * rb / t, 2) / (ra * rb / t))"),
+        _CHI_CTES.strip().format(stat="sum(power(n - ra * rb / t, 2) / (ra * rb / t))"),
     ),
     "chi2_two_by_two": with_claims(
-        "select round" + _CHI.strip().split("select round", 1)[1],
+        _CHI.format(p=chi2_p("chi2", "((r - 1) * (k - 1))")),
         "src as (select auth_missing as a, denied as b from claims)",
-        _CHI.strip().split("\nselect round", 1)[0].format(
+        _CHI_CTES.strip().format(
             stat="sum(power(greatest(abs(n - ra * rb / t) - 0.5, 0), 2) / (ra * rb / t))"
         ),
     ),
     "crosstab": with_claims("select payer as sim_payer_id, denial_type as sim_denial_type, count(*) as n from claims group by 1, 2"),
     "kruskal": with_claims(
-        """select round((12.0::double / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 6) as h, dof, round(n, 6) as n
+        f"""select round({_KRUSKAL_H}, 6) as h, dof, round(n, 6) as n,
+  round({chi2_p(_KRUSKAL_H, "dof")}, 6) as p_value
 from (select sum(rs * rs / sz) as q, cast(sum(sz) as double) as n, count(*) - 1 as dof from g),
   (select sum(c * c * c - c) as t from (select cast(count(*) as double) as c from paid group by days_pay))""",
         "paid as (select payer, days_pay from claims where days_pay is not null)",
@@ -204,14 +274,41 @@ from (select sum(rs * rs / sz) as q, cast(sum(sz) as double) as n, count(*) - 1
   round(quantile_cont(x, 0.25), 4) as q25, round(quantile_cont(x, 0.5), 4) as q50, round(quantile_cont(x, 0.75), 4) as q75
 from (select cast(denied_u as double) / 10000 as x from claims where denied)"""
     ),
-    "oe_funnel": with_claims(
+    "oe_funnel": _recursive(with_claims(
         """select prvdr_num, claims, observed, round(expected, 6) as expected, round(observed / expected, 6) as oe_ratio,
   round(p, 6) as poisson_tail_p, p < 0.05 as flagged, case when p >= 0.05 then 'within' when observed >= expected then 'high' else 'low' end as side
 from (select *, case when observed >= expected
     then (select sum(exp(-expected + k * ln(expected) - lgamma(k + 1))) from (select unnest(generate_series(observed, observed + 400)) as k))
     else (select sum(exp(-expected + k * ln(expected) - lgamma(k + 1))) from (select unnest(generate_series(0, observed)) as k)) end as p from s)""",
-        f"mix as (select payer, line_count as band, {rate('count(*) filter (where denied)', 'count(*)', 9)} as p9 from claims group by 1, 2)",
-        """s as (select prvdr_num, count(*) as claims, count(*) filter (where denied) as observed, cast(sum(cast(round(p9 * 1000000000) as bigint)) as double) / 1000000000 as expected
-  from claims join mix on mix.payer = claims.payer and band = line_count group by 1 having count(*) >= 30)""",
+        *_newton(_CASE_TERMS),
+        f"""s as (select prvdr_num, count(*) as claims, count(*) filter (where denied) as observed,
+  sum(1 / (1 + exp(-list_dot_product([{', '.join(f'cast({sql} as double)' for _, sql in _CASE_TERMS)}], b)))) as expected
+  from claims, fit where payer is not null and elig_failed is not null group by 1 having count(*) >= 30)""",
+    )),
+    "case_mix_model": _recursive(with_claims(
+        """select term, round(b[k], 6) as coef, round(sqrt(m[k][%d + k]), 6) as se, round(1 - ll / ll0, 6) as pseudo_r2,
+  (select round(sum(y * x[k]), 6) from pat) as observed, (select round(sum(n * x[k] / (1 + exp(-list_dot_product(x, b)))), 6) from pat) as expected
+from terms, fit, (select sum(y * list_dot_product(x, b) - n * ln(1 + exp(list_dot_product(x, b)))) as ll,
+  sum(y) * ln(sum(y) / sum(n)) + (sum(n) - sum(y)) * ln(1 - sum(y) / sum(n)) as ll0 from pat, fit)""" % (len(_CASE_TERMS) + 1),
+        *_newton(_CASE_TERMS),
+        _term_rows(_CASE_TERMS),
+    )),
+    "logit_or": _recursive(with_claims(
+        f"""select term, round(coef, 5) as coef, round(exp(coef), 5) as odds_ratio, round(se, 5) as se, round(z, 5) as z, round({_NORMAL_P}, 5) as p_value,
+  round(exp(coef - 1.959963984540054 * se), 5) as ci_low, round(exp(coef + 1.959963984540054 * se), 5) as ci_high, round(1 - ll / ll0, 5) as pseudo_r2
+from (select term, b[k] as coef, sqrt(m[k][{len(_LOGIT_TERMS) + 1} + k]) as se, b[k] / sqrt(m[k][{len(_LOGIT_TERMS) + 1} + k]) as z, ll, ll0
+  from terms, fit, (select sum(y * list_dot_product(x, b) - n * ln(1 + exp(list_dot_product(x, b)))) as ll,
+    sum(y) * ln(sum(y) / sum(n)) + (sum(n) - sum(y)) * ln(1 - sum(y) / sum(n)) as ll0 from pat, fit))""",
+        *_newton(_LOGIT_TERMS),
+        _term_rows(_LOGIT_TERMS),
+    )),
+    "concordance": with_claims(
+        """select risk_score, cast(comparable as double) as comparable, cast(concordant as double) as concordant, cast(tied as double) as tied,
+  round((concordant + tied / 2.0::double) / comparable, 9) as concordance
+from (select a.risk_score, count(*) as comparable, count(*) filter (where a.s > b.s) as concordant, count(*) filter (where a.s = b.s) as tied
+  from scores a join scores b on a.risk_score = b.risk_score and a.event = 1 and (a.dur < b.dur or (a.dur = b.dur and b.event = 0)) group by 1)""",
+        _SURV.strip().replace("select payer, coalesce", "select payer, auth_missing, doc_complete, line_count, billed_u, coalesce"),
+        """scores as (select 'flags' as risk_score, dur, event, 2 * auth_missing::int + (not doc_complete)::int as s from surv
+  union all select 'lines', dur, event, -line_count from surv union all select 'billed', dur, event, -billed_u from surv)""",
     ),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import rounded
 from ..operators import events as ev
 from ..operators import relational as rel
-from ..operators import splits, stats, survival
+from ..operators import casemix, concordance as conc, splits, stats, survival
 from ..operators.history import add_prior_rates
 from . import views
 from ..session import pin
@@ -194,11 +194,11 @@ def km_by_payer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chi2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.chi_square(claims(spark, d, payer=True), "sim_payer_id", "sim_denial_flag").drop("p_value"), 6)
+    return rounded(stats.chi_square(claims(spark, d, payer=True), "sim_payer_id", "sim_denial_flag"), 6)
 
 
 def chi2_two_by_two(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.chi_square(claims(spark, d), "sim_auth_missing", "sim_denial_flag").drop("p_value"), 6)
+    return rounded(stats.chi_square(claims(spark, d), "sim_auth_missing", "sim_denial_flag"), 6)
 
 
 def crosstab(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def crosstab(spark: SparkSession, d: str) -> DataFrame:
 
 def kruskal(spark: SparkSession, d: str) -> DataFrame:
     paid = claims(spark, d, payer=True).where("sim_days_to_payment is not null")
-    return rounded(stats.kruskal_wallis(paid, "sim_payer_id", "sim_days_to_payment").drop("p_value"), 6)
+    return rounded(stats.kruskal_wallis(paid, "sim_payer_id", "sim_days_to_payment"), 6)
 
 
 def payment_days(spark: SparkSession, d: str) -> DataFrame:
@@ -219,15 +219,34 @@ def describe_denied(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.describe(rows, "sim_denied_amount"), 4)
 
 
+CASE_FLAGS = ("sim_auth_missing", "sim_eligibility_failed", "doc_incomplete")
+CASE_FACTORS = ("sim_payer_id", "sim_service_line_id")
+
+
+def _case_rows(spark: SparkSession, d: str) -> DataFrame:
+    return pin(claims(spark, d, payer=True, drg=True).selectExpr(
+        "prvdr_num", "cast(sim_denial_flag as int) as y", "cast(sim_auth_missing as int) as sim_auth_missing",
+        "cast(sim_eligibility_failed as int) as sim_eligibility_failed",
+        "cast(not sim_documentation_complete as int) as doc_incomplete", *CASE_FACTORS,
+    ))
+
+
 def oe_funnel(spark: SparkSession, d: str) -> DataFrame:
-    """Observed against expected denials per provider, expected from the payer x size case mix."""
-    c = claims(spark, d, payer=True).selectExpr(
-        "prvdr_num", "sim_payer_id", "line_count as size_band", "cast(sim_denial_flag as int) as y"
-    )
-    mix = c.groupBy("sim_payer_id", "size_band").agg(F.expr("sum(y) as d"), F.expr("count(1) as n"))
-    rates = mix.selectExpr("sim_payer_id", "size_band", "cast(cast(d as decimal(20,0)) / n as decimal(18,9)) as p")
-    scored = c.join(rates, ["sim_payer_id", "size_band"])
-    return rounded(stats.observed_expected(scored, "prvdr_num", "y", "p"), 6)
+    """Observed against expected denials per provider, expected from a logistic case-mix model without a provider term."""
+    c = _case_rows(spark, d)
+    model = casemix.fit_case_mix(c, "y", CASE_FLAGS, CASE_FACTORS)
+    known = c.withColumn("p", model.probability()).where("p is not null")
+    return rounded(stats.observed_expected(known, "prvdr_num", "y", "p"), 6)
+
+
+def case_mix_model(spark: SparkSession, d: str) -> DataFrame:
+    """The case-mix model: coefficients with errors, and each term's score equation (observed and expected denials)."""
+    c = _case_rows(spark, d)
+    model = casemix.fit_case_mix(c, "y", CASE_FLAGS, CASE_FACTORS)
+    errors = model.covariance.diagonal() ** 0.5
+    rows = [(t, float(b), float(e), float(model.pseudo_r2)) for t, b, e in zip(model.terms, model.coefficients, errors)]
+    fitted = spark.createDataFrame(rows, "term string, coef double, se double, pseudo_r2 double")
+    return rounded(fitted.join(casemix.score_equations(c, "y", CASE_FLAGS, CASE_FACTORS, model), "term"), 6)
 
 
 def segmented_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -239,9 +258,12 @@ def segmented_trend(spark: SparkSession, d: str) -> DataFrame:
 
 def logit_or(spark: SparkSession, d: str) -> DataFrame:
     c = claims(spark, d, payer=True, drg=True)
-    return stats.adjusted_logit(
-        c, "sim_denial_flag", ["sim_auth_missing", "sim_coding_specificity_deficit", "sim_documentation_complete"],
-        ["sim_payer_id", "sim_service_line_id"],
+    return rounded(
+        stats.adjusted_logit(
+            c, "sim_denial_flag", ["sim_auth_missing", "sim_coding_specificity_deficit", "sim_documentation_complete"],
+            ["sim_payer_id", "sim_service_line_id"],
+        ),
+        5,
     )
 
 
@@ -256,15 +278,29 @@ def _cox_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cox(spark: SparkSession, d: str) -> DataFrame:
-    """Naive and payer-stratified Cox fits."""
-    rows = _cox_rows(spark, d)
-    return rel.union_labelled(
-        {
-            "naive": survival.cox_regression(rows, "dur", "event", COX),
-            "stratified": survival.cox_regression(rows, "dur", "event", COX, strata="sim_payer_id"),
-        },
-        "fit",
-    )
+    """Naive and payer-stratified Cox fits, with the concordance of each fit's risk score."""
+    rows = pin(_cox_rows(spark, d))
+    fits = {}
+    for name, strata in (("naive", None), ("stratified", "sim_payer_id")):
+        fit = pin(survival.cox_regression(rows, "dur", "event", COX, strata=strata))
+        risk = " + ".join(f"({r['coef']!r}D * {r['covariate']})" for r in fit.collect())  # one row a covariate
+        index = conc.concordance(rows.withColumn("risk", F.expr(risk)), "dur", "event", "risk")
+        fits[name] = fit.withColumn("concordance", index.select("concordance").scalar())
+    return rel.union_labelled(fits, "fit")
+
+
+RISK_SCORES = {
+    "flags": "2 * cast(sim_auth_missing as int) + cast(not sim_documentation_complete as int)",
+    "lines": "-line_count",
+    "billed": "-cast(billed_charge_amt as double)",
+}
+
+
+def concordance(spark: SparkSession, d: str) -> DataFrame:
+    """Harrell's concordance of three risk scores with the time to payment: few values, some, and one for each claim."""
+    base = _survival(spark, d)
+    rows = pin(base.selectExpr("dur", "event", *[f"{sql} as {name}" for name, sql in RISK_SCORES.items()]))
+    return rounded(rel.union_labelled({name: conc.concordance(rows, "dur", "event", name) for name in RISK_SCORES}, "risk_score"), 9)
 
 
 def ph_check(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +316,6 @@ QUERIES = {
         prior_rates, triage_rates, asof_balance, submission_features, pit_invariance, temporal_split, forward_folds,
         trespass, pit_events, event_log_build, event_order, variants, rework, bottleneck, automation, activity_shares,
         cost_pivot, km, km_by_payer, chi2, chi2_two_by_two, crosstab, kruskal, payment_days, describe_denied, oe_funnel,
-        segmented_trend, logit_or, cox, ph_check,
+        case_mix_model, segmented_trend, logit_or, cox, concordance, ph_check,
     )
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,14 @@ def build_session(app: str = "remitspark", cores: int | str = "*", **overrides:
     return spark
 
 
+def package_on_path(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package wherever the driver was started from; a cluster has it installed."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder reliable checkpoints go to.
 

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,40 @@ def test_top_fraction_breaks_ties_by_hash_not_by_row_order(spark):
     top = o.top_fraction_flag(df, "s", 0.1, "k", 1337).where("in_top")
     assert top.count() == 100
     assert top.agg(F.sum("early")).first()[0] < 30
+
+
+def plain_pass(data):
+    """(key: number, sum, decimal sum, sum of doubles) of every row, group by group."""
+    out, run = {}, {}
+    for g, k, x, d, f in sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        n, a, b, c = run.get(g, (0, 0, Decimal(0), 0.0))
+        run[g] = (n + 1, a + (x or 0), b + (d or 0), c + f)
+        out[k] = run[g]
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 9])
+def test_one_pass_numbers_and_sums_hot_null_and_small_groups(spark, partitions):
+    random.seed(partitions)
+    data = [(random.choice(["hot", "hot", None, f"g{i % 40}"]), i, random.choice([i % 7, None]), Decimal(i) / 4 if i % 5 else None, i / 8) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # runs go over batches too
+    try:
+        df = spark.createDataFrame(data, "g string, k int, x int, d decimal(12,2), f double").repartition(4)
+        rows = o.sorted_pass(df, ["k"], {"xs": "x", "ds": "d", "fs": "f"}, ["g"], partitions).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["k"]: (r["_number"], r["xs"], r["ds"], r["fs"]) for r in rows} == plain_pass(data) and len(rows) == 3000
+
+
+def test_a_sorted_pass_exchanges_the_rows_once(spark):
+    df = spark.range(2000).selectExpr("id", "id % 5 as g")
+    for out in (o.number_in_group(df, ["g"], ["id"], "n", 6), o.running_totals(df, ["id"], {"s": F.col("id")}, ["g"], 6)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(_part" in line]
+        assert not wide and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sorted_pass_over_no_rows(spark):
+    df = spark.createDataFrame([], "g string, k int, x int")
+    assert o.sorted_pass(df, ["k"], {"xs": "x"}, ["g"], 3).count() == 0
+    assert o.running_totals(df, ["k"], {"xs": F.col("x")}).count() == 0
