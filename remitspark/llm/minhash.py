@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Bands of registers: a pair at the threshold meets in at least one of them with probability 0.99994.
 BANDS, ROWS = 32, 6
+#: Registers that agree may fall short of the threshold by so many standard errors: a pair at the threshold does so with probability 3e-5.
+SLACK = 4.0
+#: Bytes of shingles and rows of a block of a bucket.
+CELL_BYTES, CELL_ROWS = 16 << 20, 1024
 _MIX = mixed(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -134,16 +139,112 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
-def _contents(docs: DataFrame) -> DataFrame:
-    """(c1, c2, text) of every row."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes (node, c1, c2, doc_id): the row of the node's own doc_id, so copies of a hot content meet nobody."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                c1, c2 = contents(*_words(b.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), b.column(0)], names=["c1", "c2", "text"])
+                c1, c2 = contents(*_words(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c1), pa.array(c2), b.column(1)], names=["id", "c1", "c2", "text"])
 
-    return docs.select("text").mapInArrow(run, "c1 long, c2 long, text string")
+    found = docs.select("doc_id", "text").mapInArrow(run, "id long, c1 long, c2 long, text string")
+    same = found["id"].eqNullSafe(wanted["doc_id"]) & (found["c1"] == wanted["c1"]) & (found["c2"] == wanted["c2"])
+    return found.join(wanted, same).groupBy("node").agg(F.first("text").alias("text"))  # an id may come again with its text
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """Each node's shingles and counts, a byte of every register, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, s, count = shingles(*_words(b.column(1)), words)
+            signature = sketch(rows, s, count, b.num_rows, BANDS * ROWS)
+            keys = band_keys(signature)
+            order = np.lexsort((s, rows))
+            at = np.searchsorted(rows[order], np.arange(b.num_rows + 1))
+            s, count = s[order], count[order].astype(np.int32)
+            pieces = [(s[x:y].tobytes(), count[x:y].tobytes()) for x, y in zip(at[:-1], at[1:])]
+            columns = [[x for x, _ in pieces], [y for _, y in pieces], [r.tobytes() for r in (mixed(signature) >> np.uint64(56)).astype(np.uint8)], [k.tobytes() for k in keys]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in columns)], names=["node", "elements", "counts", "registers", "bands"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, elements binary, counts binary, registers binary, bands binary")
+
+
+def _cell_links(key: int, cross: bool, rows: list[tuple], least: float) -> list[tuple[int, int, float]]:
+    """Links that join the labels of one cell: pairs of different labels that share this band and none before it.
+
+    Pairs whose registers agree in far fewer places than similar ones do are passed over; of the others the likeliest
+    come first, each is compared exactly, and pairs that are joined by then are not.
+    """
+    node, label, block = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+    sets = [(np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.int32)) for r in rows]
+    register = np.array([np.frombuffer(r[5], np.uint8) for r in rows])
+    band = np.array([np.frombuffer(r[6], np.int64) for r in rows])
+    this = int(np.flatnonzero(band[0] == key)[0])
+    n, width = len(rows), register.shape[1]
+    cut = least - SLACK * np.sqrt(least * (1 - least) / width)
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, (1 << 24) // (n * width))
+    for lo in range(0, n - 1, step):
+        i = np.arange(lo, min(lo + step, n))
+        open_ = (label[i][:, None] != label[None, :]) & (i[:, None] < np.arange(n)[None, :])
+        if cross:
+            open_ &= block[i][:, None] != block[None, :]
+        if not open_.any():
+            continue
+        alike = (register[i][:, None, :] == register[None, :, :]).sum(axis=2, dtype=np.int32) / width
+        open_ &= alike >= cut
+        x, y = np.nonzero(open_)
+        new = ~(band[i[x], :this] == band[y, :this]).any(axis=1)
+        found.append((i[x[new]], y[new], alike[x[new], y[new]]))
+    if not found:
+        return []
+    x, y, alike = (np.concatenate(c) for c in zip(*found))
+    root = {v: v for v in label.tolist()}
+
+    def top(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    links = []
+    for k in np.argsort(-alike, kind="stable"):
+        p, q = top(int(label[x[k]])), top(int(label[y[k]]))
+        if p != q and (value := probability_jaccard(sets[x[k]], sets[y[k]])) >= least - 1e-12:
+            root[p] = q
+            links.append((int(node[x[k]]), int(node[y[k]]), value))
+    return links
+
+
+def _linked(open_rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between the labels of every bucket in ``open_rows`` (key, node, label), found where its members are.
+
+    A bucket of up to CELL_BYTES of shingles and CELL_ROWS rows is one cell, a larger one a cell for each pair of its blocks, so
+    no task holds more than two blocks. Only links leave a cell, fewer than it has labels.
+    """
+    rows = open_rows.join(sets, "node")
+    size = F.octet_length("elements") + F.octet_length("counts")
+    buckets = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / CELL_BYTES), F.ceil(F.count(F.lit(1)) / CELL_ROWS)).cast("int").alias("blocks"))
+    placed = open_rows.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = cells.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of() -> Iterator[tuple]:
+            for b in batches:
+                for s in range(0, b.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in b.slice(s, 256).columns))
+
+        for (key, i, j), cell in groupby(rows_of(), key=lambda r: r[:3]):
+            links = _cell_links(key, i != j, [r[3:] for r in cell], least)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links)], names=["a", "b", "similarity"])
+
+    return dealt.select("key", "i", "j", "node", "label", "block", "elements", "counts", "registers", "bands").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -179,15 +280,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, growth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicate documents: doc_id, class_id, class_size, kept, class_key.
 
     Texts of one word sequence are one node. Nodes that share a band are candidates; a link is a candidate pair whose exact
     probability Jaccard similarity is at least ``similarity``; classes are the connected components of the links.
-    A bucket's pairs are never all made. First every member is compared with one pivot, the member that shares most
-    buckets. Members that have one label after that need no more; in buckets that still hold several labels, ``growth``
-    times as many pivots are compared with the members of other labels, and so on until all members that were no
-    pivots have one label. Then every candidate pair of two classes has been verified, at any size of a bucket.
+    No pair of a bucket becomes a row. First every member is compared with one pivot, the member that shares most buckets: for
+    most buckets that leaves one label, and nothing more is to be done. The members of the others meet once more, with their shingles and in
+    blocks of bounded size, and are compared there: pairs of different labels whose registers agree nearly often enough, likeliest first,
+    exactly, until one label is left or no pair is. So every candidate pair of two classes is decided, at any size of a bucket.
 
     class_key is a class's own key, from its least content; class_id is the smallest doc_id of a class, which several classes
     share if an id stands on texts that are not alike; of a class's rows the first with that id is kept. Rows without words are
@@ -201,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "c1", "c2", "row"))
     one = rows.groupBy("c1", "c2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stored(one.withColumn("node", F.monotonically_increasing_id()))
-    labels = _labels(plain, nodes, words, similarity, growth)
+    labels = _labels(plain, nodes, words, similarity)
     classed = nodes.select("node", "c1", "c2", "first", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = F.min(F.struct("c1", "c2"))
     key = F.concat(F.lpad(F.hex(least["c1"]), 16, "0"), F.lpad(F.hex(least["c2"]), 16, "0"))
@@ -212,39 +313,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.withColumn("kept", F.col("row") == F.col("kept_row")).select("doc_id", "class_id", "class_size", "kept", "class_key", "c1", "c2")
 
 
-def _labels(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, growth: int) -> DataFrame:
+def _labels(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     spread = nodes.select("node", F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(spread.join(buckets, "key"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "node")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
+    pivots = stored(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("pivot")))
     pairs = stored(_ordered(members.join(pivots, "key").filter("node <> pivot").select("pivot", "node")))
-    used = stored(pivots)
-    # the texts of candidates only: of equal texts any will do
+    # the texts of candidates only
     candidates = members.select("node").distinct()
-    wanted = nodes.select("node", "c1", "c2").join(candidates, "node", "left_semi")
-    texts = stored(_contents(docs).join(wanted, ["c1", "c2"]).groupBy("node").agg(F.first("text").alias("text")))
+    wanted = nodes.select("node", "c1", "c2", F.col("first.doc_id").alias("doc_id")).join(candidates, "node", "left_semi")
+    texts = stored(_texts(docs, wanted))
     links = stored(_verified(pairs, texts, words, similarity))
     labels = components(links)
-    size = 1
-    while True:
-        state = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        waiting = state.join(used, (state["key"] == used["key"]) & (state["node"] == used["pivot"]), "left_anti")
-        mixed_keys = waiting.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("left"))
-        # members that were no pivots and have several labels, or one label: in the latter case all pairs are done
-        mixed_keys = stored(mixed_keys.filter("lo <> hi").select("key", "left"))
-        if mixed_keys.isEmpty():
-            return labels
-        size *= growth
-        unit = F.pmod(F.xxhash64("node", "key", F.lit(size)), F.lit(1 << 30))
-        chosen = stored(waiting.join(mixed_keys, "key").filter(unit * F.col("left") < F.lit(size * (1 << 30))).select("key", F.col("node").alias("pivot"), F.col("label").alias("own")))
-        more = state.select("key", "node", "label").join(chosen, "key").filter("label <> own").select("pivot", "node")
-        fresh = stored(_ordered(more).join(pairs, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_verified(fresh, texts, words, similarity)))
-        pairs = stored(pairs.unionByName(fresh))
-        used = stored(used.unionByName(chosen.select("key", "pivot")))
-        labels = components(links, start=labels)
+    state = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # a pivot has been compared with all of its bucket; are the others of one label, so have they
+    others = state.join(pivots, (state["key"] == pivots["key"]) & (state["node"] == pivots["pivot"]), "left_anti")
+    several = others.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    waiting = stored(others.join(several, "key", "left_semi"))
+    if waiting.isEmpty():
+        return labels
+    sets = stored(_sets(texts.join(waiting.select("node").distinct(), "node", "left_semi"), words))
+    more = stored(_linked(waiting, sets, similarity))
+    return components(links.unionByName(more), start=labels)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

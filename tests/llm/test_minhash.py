@@ -59,8 +59,10 @@ def test_classes_as_brute_force(messy, rows):
     assert set(kept.values()) == {1}
 
 
-def test_large_bucket_of_unequal_members(make):
+@pytest.mark.parametrize("rows_of_a_block", [1024, 7])
+def test_large_bucket_of_unequal_members(make, monkeypatch, rows_of_a_block):
     """Edited copies of a text and of its edits: many pairs share bands, not all are similar enough."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", rows_of_a_block)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -69,7 +71,28 @@ def test_large_bucket_of_unequal_members(make):
         for j in rng.choice(150, int(rng.integers(0, 9)), replace=False):
             t[j] = f"edit{i}x{j}"
         rows.append((i, " ".join(t), "s"))
-    assert found(minhash.near_duplicates(make(rows), growth=2)) == plain_classes(rows)
+    assert found(minhash.near_duplicates(make(rows))) == plain_classes(rows)
+
+
+def test_recall_of_planted_edits(make):
+    """Links of at least the threshold between edited copies, against brute force: those that end in one class."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(4):
+            t = list(base)
+            for j in rng.choice(120, int(rng.integers(0, 4)), replace=False):
+                t[j] = f"edit{k}x{j}"
+            rows.append((4 * g + k, " ".join(t), "s"))
+    rng.shuffle(rows)
+    rows = [(int(i), t, s) for i, t, s in rows]
+    label = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(make(rows)).collect()}
+    sets = {i: shingle_counts(t) for i, t, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and a // 4 == b // 4 and similarity(sets[a], sets[b]) >= 0.8]
+    assert len(links) > 80
+    assert sum(label[a] == label[b] for a, b in links) >= 0.99 * len(links)
+    assert all(label[i] // 4 == i // 4 for i in label)
 
 
 def test_exact_similarity_formula():
