@@ -103,7 +103,8 @@ def _sums(columns: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             total[-3:] += (y * z - n * np.logaddexp(0, z)).sum(), n.sum(), y.sum()
         yield pd.DataFrame({"sums": [total.tolist()]})
 
-    total = np.sum([r["sums"] for r in columns.mapInPandas(run, "sums array<double>").collect()], axis=0)  # one row a partition
+    rows = columns.mapInPandas(run, "sums array<double>").collect()  # one row a partition
+    total = np.sum([np.zeros(p + p * p + 3), *[r["sums"] for r in rows]], axis=0)
     return total[:p], total[p:-3].reshape(p, p), total[-3:]
 
 
