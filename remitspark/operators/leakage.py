@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fold
 from ..functions.inline import literal
-from ..session import pin
+from ..session import package_on_path, pin
 from .evaluation import metrics_from_counts
 from .ordering import exact_quantiles, mid_ranks
 
@@ -71,13 +73,64 @@ def level_sql(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, str
     return out
 
 
+def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], held: int = 1 << 20) -> DataFrame:
+    """Contingency counts of many pairs of text columns in one pass: (pair, x, f, n), pairs numbered from 0.
+
+    Each partition numbers the levels that it meets and counts all pairs in arrays, so no row is repeated for each pair, and what
+    is shuffled are cells, not rows. Of columns with very many levels the cells are handed on whenever ``held`` of them are
+    held. Rows of one cell are summed at the end.
+    """
+    package_on_path(df.sparkSession)
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = [(columns.index(a), columns.index(b)) for a, b in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[dict] = [{} for _ in columns]
+        cells: list[dict[int, int]] = [{} for _ in pairs]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            level = [list(d) for d in names]
+            for k, (i, j) in enumerate(at):
+                if cells[k]:
+                    key = np.fromiter(cells[k].keys(), np.int64)
+                    x, f = level[i], level[j]
+                    arrays = [np.full(len(key), k, np.int32), [x[v] for v in key >> 32], [f[v] for v in key & 0xFFFFFFFF], np.fromiter(cells[k].values(), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(arrays, (pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["pair", "x", "f", "n"])
+                cells[k].clear()
+
+        for b in batches:
+            codes = []
+            for c, known in zip(b.columns, names):
+                d = c.dictionary_encode()
+                place = np.array([known.setdefault(v, len(known)) for v in d.dictionary.to_pylist()], np.int64)
+                codes.append(place[d.indices.to_numpy(zero_copy_only=False)] if b.num_rows else np.zeros(0, np.int64))
+            for k, (i, j) in enumerate(at):
+                wide = len(names[j])
+                if len(names[i]) * wide <= 1 << 16:
+                    n = np.bincount(codes[i] * wide + codes[j])
+                    cell = np.flatnonzero(n)
+                    key, n = (cell // wide << 32) + cell % wide, n[cell]
+                else:
+                    key, n = np.unique((codes[i] << 32) + codes[j], return_counts=True)
+                mine = cells[k]
+                for v, m in zip(key.tolist(), n.tolist()):
+                    mine[v] = mine.get(v, 0) + m
+            if sum(map(len, cells)) > held:
+                yield from out()
+                names[:] = [{} for _ in columns]
+        yield from out()
+
+    counted = df.select(*columns).mapInArrow(run, "pair int, x string, f string, n long")
+    return counted.groupBy("pair", "x", "f").agg(F.sum("n").alias("n"))
+
+
 def dependency(
     df: DataFrame, features: Sequence[str], forbidden: Sequence[str], bins: int = 12, truth_bins: int = 64
 ) -> DataFrame:
     """(feature, forbidden, u): share of the feature's entropy the forbidden column explains.
 
-    All pairs are counted in one aggregation; levels are few, so partial counts leave each task as
-    at most pairs x levels rows. Date against date is skipped, row-unique forbidden columns too.
+    All pairs are counted in one pass, see :func:`pair_counts`. Date against date is skipped, row-unique
+    forbidden columns too.
     """
     # several passes follow; the named columns are written once instead of being derived each time
     df = pin(df.select(*dict.fromkeys([*features, *forbidden])))
@@ -91,12 +144,8 @@ def dependency(
     coded = df.selectExpr(
         *[f"{sql} as `_f_{c}`" for c, sql in fx.items()], *[f"{sql} as `_t_{c}`" for c, sql in tx.items()]
     )
-    items = ", ".join(
-        f"struct({literal(a)} as feature, {literal(b)} as forbidden, `_f_{a}` as x, `_t_{b}` as f)" for a, b in pairs
-    )
-    joint = coded.selectExpr(f"inline(array({items}))").groupBy("feature", "forbidden", "x", "f").agg(
-        F.expr("count(1) as n")
-    )
+    named = ", ".join(f"struct({literal(a)} as feature, {literal(b)} as forbidden)" for a, b in pairs)
+    joint = pair_counts(coded, [(f"_f_{a}", f"_t_{b}") for a, b in pairs]).selectExpr(f"inline(array(array({named})[pair]))", "x", "f", "n")
 
     def entropy(keys: Sequence[str], name: str) -> DataFrame:
         return (

@@ -39,6 +39,13 @@ def temporal_split(df: DataFrame, date: str, quantile: float = 0.8, out: str = "
     return df.withColumn(out, F.expr(f"if(cast({date} as date) <= date'{cuts[0]}', 'train', 'test')"))
 
 
+def two_folds(df: DataFrame, date: str, quantile: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The rows up to the cut date and those after it; rows without a date are in neither. Without any date both are empty."""
+    cuts = date_cuts(df, date, [quantile])
+    cut = f"date'{cuts[0]}'" if cuts else "cast(null as date)"
+    return df.where(f"cast({date} as date) <= {cut}"), df.where(f"cast({date} as date) > {cut}")
+
+
 def nested_split(
     df: DataFrame,
     date: str,

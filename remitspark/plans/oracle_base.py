@@ -94,6 +94,9 @@ claims as (
   from claims0)
 """
 
+#: The last day of the earlier fold: the day below which four fifths of the claims were submitted.
+CUT = "(select date '1970-01-01' + cast(floor(quantile_cont(submitted - date '1970-01-01', 0.8)) as integer) from claims)"
+
 AS_OF = "as_of as (select greatest(max(adjudicated), max(payment_date), max(review_date)) as d from claims)"
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.codes import REASON_CODES
-from .oracle_base import dollars4, rate, share_where, with_claims
+from .oracle_base import CUT, dollars4, rate, share_where, with_claims
 from .oracle_views import EXEC_BODY, ROOT_BODY
 from .roles import SERVICE_LINES
 
@@ -153,7 +153,7 @@ from pa a join pb b using (column_name) where abs(a.null_rate - b.null_rate) > 0
 union all select column_name, 'column_removed', null_rate, null from pa where column_name not in (select column_name from pb)
 union all select '*', 'row_count_changed', cast((select max(row_count) from pa) as double), cast((select max(row_count) from pb) as double)
 where (select max(row_count) from pa) <> (select max(row_count) from pb)""",
-        "late_claims as (select * from claims where submitted >= date '2000-01-01')",
+        "late_claims as (select * from claims where submitted > {CUT})",
         f"pa as ({_profile('claims', _PROFILE)})",
         f"pb as ({_profile('late_claims', _PROFILE[1:])})",
     ),
@@ -168,7 +168,7 @@ select 0 as part_name_key, 'UNKNOWN' as p_name, null as p_brand, 'DERIVED' as pr
 union all select row_number() over (order by p_name), p_name, arg_min(p_brand, p_partkey), 'SOURCE' from part group by p_name""",
     "header_fact": """
 with dim as (select c_name, row_number() over (order by c_name) as bene_key from customer)
-select o_orderkey, case when o_custkey % 7 = 0 then 0 else coalesce(dim.bene_key, 0) end as bene_key,
+select o_orderkey, coalesce(dim.bene_key, 0) as bene_key,
   year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as from_date_key, o_totalprice
 from orders left join customer on c_custkey = o_custkey left join dim using (c_name)""",
     "slot_unpivot": """
@@ -356,3 +356,5 @@ union all select sim_denial_category, 'recovered_amt', cast(sum(cast(round(sim_r
         f"root as ({ROOT_BODY})",
     ),
 }
+
+SQL = {name: text.replace("{CUT}", CUT) for name, text in SQL.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.workqueue import TIERS
-from .oracle_base import dollars4, with_claims
+from .oracle_base import CUT, dollars4, with_claims
 from .oracle_data import SQL as DATA_SQL
 from .oracle_data import hash_long
 from .oracle_time import prior_rate_ctes
@@ -237,7 +237,7 @@ SQL = {
   round(cast(caught as double) / greatest(1, flagged), 6) as precision
 from (select any_value(cut) as cut, count(*) filter (where score >= cut) as flagged, count(*) filter (where score >= cut and y = 1) as caught,
   cast(coalesce(sum(amount_u) filter (where score >= cut and y = 1), 0) as double) / 10000 as dollars, count(*) as n, sum(y) as p
-  from scored, (select quantile_cont(score, 0.9) as cut from scored where submitted < date '2000-01-01') where submitted >= date '2000-01-01')""",
+  from scored, (select quantile_cont(score, 0.9) as cut from scored where submitted <= {CUT}) where submitted > {CUT})""",
         _S,
     ),
     "break_even": with_claims(
@@ -253,7 +253,7 @@ from (select avg(y) as r, cast(sum(amount_u) as double) / 10000 / count(*) as a
     ),
     "value_bands": with_claims(
         f"""select len(list_filter(e, lambda x: x < cast(allowed_u as double) / 10000)) as value_band, count(*) as n, {dollars4('sum(allowed_u)')} as allowed
-from claims, (select quantile_cont(cast(allowed_u as double) / 10000, [0.25, 0.5, 0.75, 0.9]) as e from claims where submitted < date '2000-01-01') group by 1"""
+from claims, (select quantile_cont(cast(allowed_u as double) / 10000, [0.25, 0.5, 0.75, 0.9]) as e from claims where submitted <= {CUT}) group by 1"""
     ),
     "risk_bands": with_claims(
         """select case when score / 2 < 0.06 then 'low' when score / 2 < 0.13 then 'moderate' when score / 2 < 0.26 then 'elevated' else 'high' end as band,
@@ -261,12 +261,12 @@ from claims, (select quantile_cont(cast(allowed_u as double) / 10000, [0.25, 0.5
         _S,
     ),
     "group_rate": with_claims(
-        """select claim_sk, c.payer as sim_payer_id, coalesce(r, (select avg(denied::int) from claims where submitted < date '2000-01-01')) as score
-from claims c left join (select payer, avg(denied::int) as r from claims where submitted < date '2000-01-01' group by 1) g
-  on g.payer = c.payer where submitted >= date '2000-01-01'"""
+        """select claim_sk, c.payer as sim_payer_id, coalesce(r, (select avg(denied::int) from claims where submitted <= {CUT})) as score
+from claims c left join (select payer, avg(denied::int) as r from claims where submitted <= {CUT} group by 1) g
+  on g.payer = c.payer where submitted > {CUT}"""
     ),
     "base_rate": with_claims(
-        """select (select avg(denied::int) from claims where submitted < date '2000-01-01') as score, count(*) as n from claims where submitted >= date '2000-01-01'"""
+        """select (select avg(denied::int) from claims where submitted <= {CUT}) as score, count(*) as n from claims where submitted > {CUT}"""
     ),
     "work_queue": with_claims(
         f"""select claim_sk, p as sim_p_overturn, amount as sim_recoverable_amt, p * amount * 0.8::double as sim_expected_recovery_amt,
@@ -313,8 +313,8 @@ from claims where overturned group by grouping sets ((denial_type), ())"""
     "probability_source": with_claims(
         """select claim_sk, cat as category, round(coalesce(given, shipped, r, (select avg(r) from rates)), 9) as probability,
   case when given is not null then 'caller' when shipped is not null then 'shipped_score' when r is not null then 'category_rule' else 'book_rate' end as probability_source
-from (select claim_sk, case when category = '3-MEDIUM' then 'UNSEEN' else category end as cat, case when claim_sk % 10 = 0 then 0.5::double end as given,
-  case when claim_sk % 3 = 0 then cast(doc4 as double) / 10000 / 200 end as shipped from doc where denied) q left join rates on rates.category = q.cat""",
+from (select claim_sk, category as cat, cast(null as double) as given,
+  case when appeal_levels is null then cast(doc4 as double) / 10000 / 200 end as shipped from doc where denied) q left join rates on rates.category = q.cat""",
         _S,
         """rates as (select category, cast(count(*) filter (where overturned) as double) / count(appeal_levels) as r from claims where denied group by 1 having count(appeal_levels) > 0)""",
     ),
@@ -380,3 +380,4 @@ union all select 'cents', 'denied_cents', count(*) filter (where r > 0) from b
 union all select 'supp', 'provider', count(*) from b""",
 }
 
+SQL = {name: text.replace("{CUT}", CUT) for name, text in SQL.items()}

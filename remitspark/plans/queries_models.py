@@ -66,8 +66,8 @@ def threshold_cost(spark: SparkSession, d: str) -> DataFrame:
 def threshold_capacity(spark: SparkSession, d: str) -> DataFrame:
     """The top-decile threshold of early claims, applied to late ones."""
     rows = scored(spark, d)
-    cut = evl.capacity_threshold(rows.where("sim_submission_date < date'2000-01-01'"), "score", 0.10)
-    late = rows.where("sim_submission_date >= date'2000-01-01'")
+    early, late = splits.two_folds(rows, "sim_submission_date")
+    cut = evl.capacity_threshold(early, "score", 0.10)
     return rounded(evl.apply_threshold(late, "y", "score", "amount", cut, REVIEW_COST, MULTIPLIER), 6)
 
 
@@ -88,7 +88,7 @@ def value_bands(spark: SparkSession, d: str) -> DataFrame:
     """Bands learned on early claims, applied to all."""
     rows = scored(spark, d)
     banded = evl.value_bands(
-        rows.where("sim_submission_date < date'2000-01-01'"), rows, "sim_allowed_amount", [0, 0.25, 0.5, 0.75, 0.9, 1]
+        splits.two_folds(rows, "sim_submission_date")[0], rows, "sim_allowed_amount", [0, 0.25, 0.5, 0.75, 0.9, 1]
     )
     return banded.groupBy("value_band").agg(
         F.expr("count(1) as n"), F.expr("cast(sum(sim_allowed_amount) as double) as allowed")
@@ -103,17 +103,14 @@ def risk_bands(spark: SparkSession, d: str) -> DataFrame:
 def group_rate(spark: SparkSession, d: str) -> DataFrame:
     """Payer-rule baseline: early payer rates applied to late claims."""
     rows = scored(spark, d, payer=True)
-    early = rows.where("sim_submission_date < date'2000-01-01'")
-    late = rows.where("sim_submission_date >= date'2000-01-01'").select("claim_sk", "sim_payer_id")
-    return modeling.group_rate_scores(early, late, "sim_payer_id", "y")
+    early, late = splits.two_folds(rows, "sim_submission_date")
+    return modeling.group_rate_scores(early, late.select("claim_sk", "sim_payer_id"), "sim_payer_id", "y")
 
 
 def base_rate(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d)
-    out = modeling.base_rate_scores(
-        rows.where("sim_submission_date < date'2000-01-01'"),
-        rows.where("sim_submission_date >= date'2000-01-01'").select("claim_sk"), "y",
-    )
+    early, late = splits.two_folds(rows, "sim_submission_date")
+    out = modeling.base_rate_scores(early, late.select("claim_sk"), "y")
     return out.groupBy("score").agg(F.expr("count(1) as n"))
 
 
@@ -202,10 +199,10 @@ def probability_source(spark: SparkSession, d: str) -> DataFrame:
     """Where each claim's overturn probability comes from."""
     c = claims(spark, d).where("sim_denial_flag")
     requests = c.selectExpr(
-        "claim_sk", "if(sim_denial_category = '3-MEDIUM', 'UNSEEN', sim_denial_category) as category",
-        "if(claim_sk % 10 = 0, 0.5D, null) as given",
+        "claim_sk", "sim_denial_category as category", "cast(null as double) as given",
     )
-    shipped = queue_rows(spark, d).where("claim_sk % 3 = 0").selectExpr("claim_sk", "p as p_shipped")
+    # claims that already have an appeal outcome are not scored: these take their category's rate
+    shipped = queue_rows(spark, d).join(c.where("sim_appeal_levels is null").select("claim_sk"), "claim_sk", "left_semi").selectExpr("claim_sk", "p as p_shipped")
     rates = serving.category_overturn_rates(views.denial_root_cause(c)).selectExpr(
         "sim_denial_category as category", "overturn_rate as p_category"
     )

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.measures import decimals_to_double
 from . import (
+    check_tables,
+    oracle_checks,
     oracle_data,
     oracle_models,
     oracle_time,
@@ -23,14 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for module in (queries_views, queries_data, queries_time, queries_models):
+    for module in (queries_views, queries_data, queries_time, queries_models, check_tables):
         out.update({name: _plain(fn) for name, fn in module.QUERIES.items()})
     return out
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for module in (oracle_views, oracle_data, oracle_time, oracle_models):
+    for module in (oracle_views, oracle_data, oracle_time, oracle_models, oracle_checks):
         out.update(module.SQL)
     return out
 

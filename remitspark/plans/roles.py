@@ -100,7 +100,7 @@ LINE_MEASURES = {
     "last_ship": "max(ship_date)",
     "payment_date": "max(case when is_final then ship_date end)",
     "last_denied_ship": "max(case when is_denied then ship_date end)",
-    "distinct_lines": "count(distinct line_num)",
+    "distinct_lines": "cast(size(collect_set(line_num)) as bigint)",
     "max_quantity": "max(quantity)",
     "min_quantity": "min(quantity)",
     "sum_quantity": "sum(quantity)",

@@ -190,3 +190,19 @@ def test_gbt_query_fits_the_declared_ensemble(spark, monkeypatch):
     with pytest.raises(Fitted):
         qm.gbt(spark, "unused")
     assert got["trees"] == 300 == real.parameters["trees"].default
+
+
+def test_pair_counts_as_counted_row_by_row(spark):
+    import random
+    from collections import Counter
+
+    from remitspark.operators.leakage import pair_counts
+
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), str(rng.randrange(300)), rng.choice(["x", "hot", "hot"])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").repartition(4)
+    for held in (1 << 20, 10):
+        got = {(r["pair"], r["x"], r["f"]): r["n"] for r in pair_counts(df, [("a", "c"), ("b", "a")], held).collect()}
+        want = Counter((0, r[0], r[2]) for r in rows) + Counter((1, r[1], r[0]) for r in rows)
+        assert got == dict(want)
+    assert pair_counts(df.limit(0), [("a", "c")]).count() == 0
