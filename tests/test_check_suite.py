@@ -12,7 +12,7 @@ def suite(spark, child, parent):
     ]
     checks = [
         resolves("fk", "k", "kid", "folk"), resolves("coverage", "k", "folk", "kid"), unique("parent key", "k", "folk"), unique("child key", "k", "kid"),
-        KeyCheck("identity", "k", "if(n_folk > 0 and n_kid > 0 and folk_total <> kid_sum, 1L, 0L)"), MemberCheck("member", "k", "folk", "0"),
+        KeyCheck("identity", "k", "if(key is not null and n_folk > 0 and n_kid > 0 and folk_total <> kid_sum, 1L, 0L)"), MemberCheck("member", "k", "folk", "0"),
     ]
     return {r["check_name"]: (r["violations"], r["passed"]) for r in run_checks(sources, checks).collect()}
 
