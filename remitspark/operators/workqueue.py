@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_long
 from ..functions.inline import literal, values_frame
-from .evaluation import paired_capture_difference
 from .ordering import with_position
 from .relational import month_snapshots
 
@@ -180,13 +179,6 @@ def compare_rules(
     ).selectExpr("*", "if(total > 0, cast(captured as double) / cast(total as double), null) as share")
 
 
-def compare_rule_pair(
-    df: DataFrame, key: str, a: str, b: str, dollars: str, share: float, resamples: int = 200, seed: int = 1337
-) -> DataFrame:
-    """Paired interval of the captured share of two score columns."""
-    return paired_capture_difference(df, a, b, dollars, key, share, resamples, seed)
-
-
 # Where an overturn probability came from.
 PROBABILITY_SOURCES = ("caller", "shipped_score", "category_rule", "book_rate")
 

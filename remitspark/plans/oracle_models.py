@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.paired import POISSON, PRIME, resample_maps
 from ..operators.workqueue import TIERS
 from .oracle_base import CUT, dollars4, with_claims
 from .oracle_data import SQL as DATA_SQL
@@ -16,6 +17,8 @@ scored as (select *, cast(doc4 as double) / 10000 / 10 as score, denied::int as
 
 _S = SCORED.strip()
 
+RULE_PAIRS = [("enr_score", "largest_denial_first"), ("enr_tiered_queue", "largest_denial_first"), ("enr_tiered_queue", "enr_score"), ("enr_score", "enr_score")]
+
 
 def _ranking(groups: str) -> list[str]:
     part = f"partition by {groups} " if groups else ""
@@ -310,6 +313,24 @@ from claims where overturned group by grouping sets ((denial_type), ())"""
         f"""picks as (select *, row_number() over (partition by rule order by sc desc, {hash_long('claim_sk')}, claim_sk)
     <= greatest(1, round_even(count(*) over (partition by rule) * 0.1, 0)) as in_top from rules)""",
     ),
+    "rule_differences": with_claims(
+        f"""select difference, round(max(d) filter (where b = -1), 6) as point, round(quantile_cont(d, 0.025) filter (where b >= 0), 6) as low,
+  round(quantile_cont(d, 0.975) filter (where b >= 0), 6) as high, cast(count(d) filter (where b >= 0) as integer) as draws
+from (select difference, x.b, x.share - y.share as d from pairs join shares x on x.rule = pairs.l join shares y on y.rule = pairs.r and y.b = x.b) group by 1""",
+        _S,
+        _QROWS.replace("where denied", "where denied and overturned is not null"),
+        _queue("120"),
+        f"queue as (select *, {_POSITION} as pos from ranked)",
+        """rules as (select 'enr_score' as rule, enr as sc, claim_sk, recovered from queue union all select 'largest_denial_first', amount, claim_sk, recovered from queue
+    union all select 'enr_tiered_queue', -pos, claim_sk, recovered from queue)""",
+        f"""drawn as (select rule, sc, claim_sk, coalesce(recovered, 0) as money, m.b, {hash_long('claim_sk')} as tie,
+    case when m.b < 0 then 1 else len(list_filter([{', '.join(map(str, POISSON))}], lambda t: (tie % {PRIME} * m.f + m.s) % {PRIME} >= t)) end as w
+  from rules, (values (-1, 0, 0), {', '.join(f'({b}, {f}, {s})' for b, (f, s) in enumerate(resample_maps(200, 1337)))}) m(b, f, s))""",
+        """placed as (select *, sum(w) over (partition by rule, b order by sc desc, tie, claim_sk) - w as before,
+    greatest(1, round_even(sum(w) over (partition by rule, b) * 0.1, 0)) as cut from drawn)""",
+        "shares as (select rule, b, sum(money * greatest(0, least(w, cut - before))) / sum(money * w) as share from placed group by 1, 2)",
+        "pairs(difference, l, r) as (values " + ", ".join(f"('{a}_minus_{b}', '{a}', '{b}')" for a, b in RULE_PAIRS) + ")",
+    ),
     "probability_source": with_claims(
         """select claim_sk, cat as category, round(coalesce(given, shipped, r, (select avg(r) from rates)), 9) as probability,
   case when given is not null then 'caller' when shipped is not null then 'shipped_score' when r is not null then 'category_rule' else 'book_rate' end as probability_source
