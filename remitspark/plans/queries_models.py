@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import rounded
 from ..operators import evaluation as evl
-from ..operators import checks, leakage, modeling, paired, serving, splits
+from ..operators import checks, leakage, modeling, paired, serving, splits, training
 from ..operators import relational as rel
 from ..operators import workqueue as wq
 from ..session import pin
@@ -311,12 +311,16 @@ def _folds(spark: SparkSession, d: str) -> DataFrame:
     return pin(splits.nested_split(submission_claims(spark, d), TIME, dates=dates))
 
 
-def _logistic(spark: SparkSession, d: str):
+def _matrix(spark: SparkSession, d: str):
+    """Folds, preprocessor fitted on the fit fold, and the feature vectors of all rows."""
     rows = _folds(spark, d)
     prep = modeling.fit_preprocessor(rows.where("fold = 'fit'"), SUBMISSION_FEATURES)
-    ready = pin(prep.transform(rows).select("claim_sk", "fold", LABEL, "sim_denied_amount", "features"))
-    model = modeling.fit_logistic(ready.where("fold = 'fit'"), LABEL)
-    return prep, ready, model
+    return rows, prep, pin(prep.transform(rows).select("claim_sk", "fold", LABEL, "sim_denied_amount", "features"))
+
+
+def _logistic(spark: SparkSession, d: str):
+    _, prep, ready = _matrix(spark, d)
+    return prep, ready, modeling.fit_logistic(ready.where("fold = 'fit'"), LABEL)
 
 
 def score_all(spark: SparkSession, d: str) -> DataFrame:
@@ -329,8 +333,8 @@ def score_all(spark: SparkSession, d: str) -> DataFrame:
 
 def model_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Logistic model against its baselines: metrics on the test fold."""
-    rows = _folds(spark, d)
-    _, ready, model = _logistic(spark, d)
+    rows, _, ready = _matrix(spark, d)
+    model = modeling.fit_logistic(ready.where("fold = 'fit'"), LABEL)
     logistic = modeling.raw_scores(model, ready.where("fold = 'test'")).selectExpr(f"cast({LABEL} as int) as y", "score")
     fit, test = rows.where("fold = 'fit'"), rows.where("fold = 'test'")
     payer = modeling.group_rate_scores(fit, test, "sim_payer_id", LABEL).selectExpr(f"cast({LABEL} as int) as y", "score")
@@ -341,12 +345,25 @@ def model_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def gbt(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees on the same matrix: test-fold metrics."""
-    _, ready, _ = _logistic(spark, d)
+    _, _, ready = _matrix(spark, d)
     model = modeling.fit_boosted(ready.where("fold = 'fit'"), LABEL)
     scored_rows = modeling.raw_scores(model, ready.where("fold = 'test'")).selectExpr(f"cast({LABEL} as int) as y", "score")
     return evl.ranking_metrics(scored_rows, "y", "score")
 
 
+def training_run(spark: SparkSession, d: str) -> DataFrame:
+    """Logistic and boosted candidates with both calibrations and the baselines, on every held-out fold; the champion and the verdict."""
+    rows, _, ready = _matrix(spark, d)
+    fit, held = rows.where("fold = 'fit'"), rows.where("fold <> 'fit'")
+    scores = {
+        "payer_rule": modeling.group_rate_scores(fit, held, "sim_payer_id", LABEL),
+        "base_rate": modeling.base_rate_scores(fit, held, LABEL),
+    }
+    candidates = {"boosted": lambda x: modeling.fit_boosted(x, LABEL), "logistic": lambda x: modeling.fit_logistic(x, LABEL)}
+    run = training.train(ready, LABEL, candidates, baselines={n: x.select("claim_sk", "fold", LABEL, "score") for n, x in scores.items()})
+    return rounded(training.run_report(run), 9)
+
+
 def global_drivers(spark: SparkSession, d: str) -> DataFrame:
     prep, ready, model = _logistic(spark, d)
     return modeling.global_importance(model, ready.where("fold = 'fit'"), prep.owners)
@@ -384,6 +401,6 @@ QUERIES = {
         sensitivity, break_even, concentration, value_bands, risk_bands, group_rate, base_rate, work_queue,
         work_queue_arrival, queue_guarantee, queue_page, month_queues, month_snapshots, recovery_ratio, rule_compare, rule_differences,
         probability_source, headline, imputation, mi_dependency, feature_auc, null_auc, identifiers, lineage, score_all,
-        model_metrics, gbt, global_drivers, linear_drivers, driver_reasons, bootstrap_ci,
+        model_metrics, gbt, training_run, global_drivers, linear_drivers, driver_reasons, bootstrap_ci,
     )
 }
