@@ -201,9 +201,16 @@ def nlargest(df: DataFrame, column: str, k: int, key: str) -> DataFrame:
     return df.orderBy(F.col(column).desc_nulls_last(), key).limit(k)
 
 
-def lookup_claim(claims: DataFrame, identifier: str) -> DataFrame:
-    """One claim by its natural id, else by its numeric surrogate."""
+def lookup_claim(claims: DataFrame, identifier: str, minted: str | None = None) -> DataFrame:
+    """One claim by its natural id, else by its numeric surrogate.
+
+    Where natural ids are minted from the surrogate as ``minted`` and its zero-padded digits, the surrogate is known from the id: the
+    equality on it goes through the aggregation to the scans, which skip all row groups without it.
+    """
     number = identifier if identifier.isdigit() else "null"
+    if minted is not None:
+        digits = identifier.removeprefix(minted) if identifier.startswith(minted) else identifier
+        claims = claims.where(f"claim_sk = {int(digits)}" if digits.isdigit() and len(digits) < 19 else "false")
     return (
         claims.where(f"clm_id = {literal(identifier)} or claim_sk = cast({number} as bigint)")
         .withColumn("_prio", F.expr(f"if(clm_id = {literal(identifier)}, 0, 1)"))

@@ -435,7 +435,7 @@ def claim_lookup(spark: SparkSession, d: str) -> DataFrame:
     rows = claims(spark, d, payer=True, provider=True).select(
         "claim_sk", "clm_id", "sim_payer_id", "sim_denial_type", "line_count", "sim_facility_name"
     )
-    return serving.claim_record(serving.lookup_claim(rows, "CLM0000000042"))
+    return serving.claim_record(serving.lookup_claim(rows, "CLM0000000042", minted="CLM"))
 
 
 def auth_status(spark: SparkSession, d: str) -> DataFrame:

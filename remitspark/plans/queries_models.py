@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import rounded
 from ..operators import evaluation as evl
-from ..operators import checks, leakage, modeling, paired, serving, splits, training
+from ..operators import checks, leakage, modeling, paired, scoring, serving, splits, training
 from ..operators import relational as rel
 from ..operators import workqueue as wq
-from ..session import pin
+from ..session import ensure_checkpoint_dir, pin
 from . import views
 from .features import LABEL, SUBMISSION_FEATURES, TIME, submission_claims
 from .queries_data import dq_scorecard
@@ -364,6 +366,17 @@ def training_run(spark: SparkSession, d: str) -> DataFrame:
     return rounded(training.run_report(run), 9)
 
 
+def score_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim as a request that gives only what is known before documentation is complete, scored by a saved and reloaded model."""
+    rows, prep, ready = _matrix(spark, d)
+    model = modeling.fit_logistic(ready.where("fold = 'fit'"), LABEL)
+    raw = modeling.raw_scores(model, ready.where("fold = 'calibrate'"))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    scoring.ScoringModel(prep, model, modeling.fit_calibrator(raw, LABEL)).save(folder)
+    asked = rows.selectExpr("claim_sk as request_id", "sim_payer_id", "sim_service_line_id", "sim_auth_missing", "if(sim_documentation_complete, sim_documentation_score, null) as sim_documentation_score")
+    return scoring.ScoringModel.load(spark, folder).score(asked)
+
+
 def global_drivers(spark: SparkSession, d: str) -> DataFrame:
     prep, ready, model = _logistic(spark, d)
     return modeling.global_importance(model, ready.where("fold = 'fit'"), prep.owners)
@@ -401,6 +414,6 @@ QUERIES = {
         sensitivity, break_even, concentration, value_bands, risk_bands, group_rate, base_rate, work_queue,
         work_queue_arrival, queue_guarantee, queue_page, month_queues, month_snapshots, recovery_ratio, rule_compare, rule_differences,
         probability_source, headline, imputation, mi_dependency, feature_auc, null_auc, identifiers, lineage, score_all,
-        model_metrics, gbt, training_run, global_drivers, linear_drivers, driver_reasons, bootstrap_ci,
+        model_metrics, gbt, training_run, score_requests, global_drivers, linear_drivers, driver_reasons, bootstrap_ci,
     )
 }

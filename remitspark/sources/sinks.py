@@ -45,3 +45,16 @@ def load_star(spark: SparkSession, root: str, dims: Mapping[str, DataFrame], fac
 def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """A table bucketed and sorted by a join key, so later joins on the key need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
+def keyed_table(df: DataFrame, path: str, key: str, *, files: int | None = None, group_bytes: int = 16 << 20) -> None:
+    """A Parquet data set for point lookups by ``key``: range-partitioned and sorted by it, with small row groups and a bloom filter.
+
+    A lookup then reads the footers of all files and the row groups of one: the pushed predicate is compared with every
+    group's bounds and filter. Without ``files`` the session's shuffle width is taken.
+    """
+    if key not in df.columns:
+        raise ValueError(f"no column {key}")
+    ranged = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    writer = ranged.sortWithinPartitions(key).write.mode("overwrite").option("parquet.block.size", group_bytes)
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
