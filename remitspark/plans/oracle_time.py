@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .oracle_base import rate, with_claims
+from .oracle_views import SQL as VIEW_SQL
 
 _DAY = "(submitted - date '1970-01-01')"
 
@@ -139,8 +140,8 @@ def _term_rows(terms: list[tuple[str, str]]) -> str:
 
 #: Two-sided normal tail: erf by its series of positive terms.
 _NORMAL_P = (
-    "greatest(0, 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 300), "
-    "lambda i: case when z = 0 then 0 else exp(i * ln(2) + (2 * i + 1) * ln(abs(z) / sqrt(2)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1))) end)))"
+    "case when abs(z) > 9 then 0 else greatest(0, 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 300), "
+    "lambda i: case when z = 0 then 0 else exp(i * ln(2) + (2 * i + 1) * ln(abs(z) / sqrt(2)) - (lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1))) end))) end"
 )
 
 
@@ -153,6 +154,31 @@ def chi2_p(statistic: str, dof: str) -> str:
     )
 
 
+def _segmented_trend(lags: int = 3) -> str:
+    """Segmented least squares with Newey-West errors: normal equations by elimination, then the weighted lagged score products."""
+    at = range(1, 5)
+    matrix = ", ".join("[" + ", ".join([*(f"sum(x[{i}] * x[{j}])" for j in at), f"sum(x[{i}] * y)", *("1.0" if i == j else "0.0" for j in at)]) + "]" for i in at)
+    products = ", ".join(f"sum(u[{i}] * {'u' if lag == 0 else f'l{lag}'}[{j}]) as g{lag}_{i}_{j}" for lag in range(lags + 1) for i in at for j in at)
+    meat = {
+        (i, j): " + ".join([f"g0_{i}_{j}", *(f"{1 - lag / (lags + 1)!r} * (coalesce(g{lag}_{i}_{j}, 0) + coalesce(g{lag}_{j}_{i}, 0))" for lag in range(1, lags + 1))]) for i in at for j in at
+    }
+    variance = " + ".join(f"m[k][{5 + i}] * ({meat[i, j]}) * m[k][{5 + j}]" for i in at for j in at)
+    return f"""with recursive monthly as ({VIEW_SQL['exec_monthly']}),
+numbered as (select cast(sim_denial_rate as double) as y, cast(row_number() over (order by sim_submission_year_month) - 1 as double) as t, count(*) over () // 2 as cut from monthly),
+frame as materialized (select t, y, [1.0, t, case when t >= cut then 1.0 else 0.0 end, case when t >= cut then t - cut else 0.0 end]::double[] as x from numbered),
+gj as (select 0 as i, [{matrix}]::double[][] as m from frame
+union all
+select i + 1, list_transform(range(1, 5), lambda j: case when j = i + 1 then list_transform(m[i + 1], lambda v: v / m[i + 1][i + 1])
+  else list_transform(range(1, 10), lambda c: m[j][c] - m[j][i + 1] * m[i + 1][c] / m[i + 1][i + 1]) end) from gj where i < 4),
+fit as materialized (select m from gj where i = 4),
+scores as (select t, list_transform(x, lambda v: v * (y - list_dot_product(x, [m[1][5], m[2][5], m[3][5], m[4][5]]))) as u from frame, fit),
+lagged as (select u, {', '.join(f'lag(u, {lag}) over (order by t) as l{lag}' for lag in range(1, lags + 1))} from scores),
+sums as (select {products} from lagged),
+terms as (select unnest(['intercept', 'time', 'level', 'time_since']) as term, unnest(range(1, 5)) as k),
+found as (select term, m[k][5] as coef, sqrt({variance}) as se from terms, fit, sums)
+select term, round(coef, 6) as coef, round(se, 6) as se, round(z, 6) as z, round({_NORMAL_P}, 6) as p_value from (select *, coef / se as z from found)"""
+
+
 _KRUSKAL_H = "((12.0::double / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)))"
 
 SQL = {
@@ -302,6 +328,7 @@ from (select term, b[k] as coef, sqrt(m[k][{len(_LOGIT_TERMS) + 1} + k]) as se,
         *_newton(_LOGIT_TERMS),
         _term_rows(_LOGIT_TERMS),
     )),
+    "segmented_trend": _segmented_trend(),
     "concordance": with_claims(
         """select risk_score, cast(comparable as double) as comparable, cast(concordant as double) as concordant, cast(tied as double) as tied,
   round((concordant + tied / 2.0::double) / comparable, 9) as concordance

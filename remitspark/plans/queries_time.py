@@ -253,7 +253,7 @@ def segmented_trend(spark: SparkSession, d: str) -> DataFrame:
     """Segmented monthly denial-rate trend with Newey-West errors."""
     monthly = views.executive_monthly(claims(spark, d, payer=True))
     frame = stats.segmented_frame(monthly, "sim_submission_year_month", "sim_denial_rate")
-    return rounded(stats.segmented_regression(frame).drop("p_value", "z"), 6)
+    return rounded(stats.segmented_regression(frame), 6)
 
 
 def logit_or(spark: SparkSession, d: str) -> DataFrame:

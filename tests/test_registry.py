@@ -7,7 +7,7 @@ from remitspark.plans import registry
 SF = "/root/testdata/sf0.001"
 # Iterative fits, resampling and hash fingerprints have no SQL form; they are tested on their own.
 NO_SQL = {
-    "fingerprint", "segmented_trend", "cox", "ph_check", "score_all", "model_metrics", "gbt", "training_run", "score_requests", "global_drivers", "linear_drivers", "driver_reasons", "bootstrap_ci",
+    "fingerprint", "cox", "ph_check", "score_all", "model_metrics", "gbt", "training_run", "score_requests", "global_drivers", "linear_drivers", "driver_reasons", "bootstrap_ci",
 }
 
 
