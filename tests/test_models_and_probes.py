@@ -186,7 +186,7 @@ def test_gbt_query_fits_the_declared_ensemble(spark, monkeypatch):
         raise Fitted
 
     monkeypatch.setattr(qm.modeling, "fit_boosted", fit)
-    monkeypatch.setattr(qm, "_logistic", lambda s, d: (None, s.createDataFrame([("fit",)], "fold string"), None))
+    monkeypatch.setattr(qm, "_matrix", lambda s, d: (None, None, s.createDataFrame([("fit",)], "fold string")))
     with pytest.raises(Fitted):
         qm.gbt(spark, "unused")
     assert got["trees"] == 300 == real.parameters["trees"].default

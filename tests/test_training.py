@@ -17,7 +17,7 @@ def ready(spark, n=900, leak=False):
 
 
 def candidates(c=1.0):
-    return {"weak": lambda x: modeling.fit_logistic(x, "y", c=1e-6), "strong": lambda x: modeling.fit_logistic(x, "y", c=c), "trees": lambda x: modeling.fit_boosted(x, "y", trees=3)}
+    return {"weak": lambda x: modeling.fit_logistic(x, "y", c=1e-2), "strong": lambda x: modeling.fit_logistic(x, "y", c=c), "trees": lambda x: modeling.fit_boosted(x, "y", trees=3)}
 
 
 def test_champion_is_chosen_on_the_calibration_fold(spark):
