@@ -334,7 +334,11 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs`` below the threshold, with all their columns; the decision is made on the row's own text."""
+    """The rows of ``docs`` below the threshold, with all their columns; the decision is made on the row's own text.
+
+    The text is the column ``text``. Null and empty texts are one empty sentence, clean under any fitted bias; equal texts are kept or go
+    together, repeated rows too; null ids are rows like others. Without labels nothing goes; an empty table gives no rows.
+    """
     model = fit(docs, train_labels(labels), **options)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.dense())

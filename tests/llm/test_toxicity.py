@@ -39,12 +39,41 @@ def test_held_out_documents_and_the_sentence(spark, make):
     held = [r for r in out if r["held_out"]]
     assert len(out) == len(rows) and 0 < len(held) < len(rows)
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.97
-    model = toxicity.fit(docs, toxicity.train_labels(labels_df))
+
+
+def test_sentences_are_located(spark, make):
+    """Of documents that are labelled toxic, the sentence with the toxic words; its bytes and number are those of the text."""
+    rows, labels = planted()
+    docs, labels_df = make(rows), spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit(docs, labels_df)
     spans = toxicity.offending(docs, model).collect()
-    assert all(any(w in r["text"] for w in ("vile", "awful", "nasty")) for r in spans)
-    assert {r["doc_id"] for r in spans} == {i for i, t in truth.items() if t}
-    text = {i: t for i, t, _ in rows}
-    assert all(text[r["doc_id"]].encode()[r["start"] : r["end"]].decode().lower() == r["text"] for r in spans)
+    bad = ("vile", "awful", "nasty")
+    truth, text = {i for i, _, t in labels if t}, {i: t for i, t, _ in rows}
+    hit = [r for r in spans if any(w in r["text"] for w in bad)]
+    assert len(hit) >= 0.95 * len(spans) and len({r["doc_id"] for r in hit}) >= 0.9 * len(truth)
+    assert all(r["doc_id"] in truth for r in hit)
+    for r in spans:
+        assert text[r["doc_id"]].encode()[r["start"] : r["end"]].decode() == r["text"]
+        assert text[r["doc_id"]].encode()[: r["start"]].count(b".") == r["sentence"]
+
+
+def test_noisy_or_as_written_out(make, rows):
+    """Without levels a score is one minus the product of the sentences' own chances of being clean."""
+    texts = [r for r in rows if len(r[1] or "") < 5000] + [(50, "Vile. Vile awful! clean words here? nasty\nend", "s")]
+    batch = toxicity.sentences(pa.array([t for _, t, _ in texts]))
+    feature = np.unique(batch.feature)
+    model = toxicity.Model(feature.astype(np.int32), np.random.default_rng(3).normal(0, 1, len(feature)), -1.5)
+    weight = dict(zip(feature.tolist(), model.weight))
+    want = []
+    for k, (i, _, _) in enumerate(texts):
+        clean = 1.0
+        for s in np.flatnonzero(batch.doc == k):
+            z = model.bias + sum(weight[f] for f in batch.feature[batch.sentence == s].tolist())
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        want.append((i, 1 - clean))
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(make(texts), model).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert np.allclose([v for _, v in sorted(got, key=key)], [v for _, v in sorted(want, key=key)], atol=1e-9)
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark, make):
