@@ -52,6 +52,11 @@ scored as (
 SQL = {
     "exec_monthly": with_claims(EXEC_BODY),
     "root_cause": with_claims(ROOT_BODY),
+    "root_cause_labelled": with_claims(
+        f"""select r.*, l.label as carc_category_label from ({ROOT_BODY}) r left join (
+  select substr(o_orderpriority, 1, 1) as code, min(case when length(o_orderpriority) > 2
+    then upper(substr(o_orderpriority, 3, 1)) || lower(substr(o_orderpriority, 4)) end) as label from orders group by 1) l on l.code = r.sim_denial_carc_group"""
+    ),
     "ar_aging": with_claims(
         f"""
 select spine.label as sim_aging_bucket, spine.sort as bucket_sort, count(b.claim_sk) as sim_open_claims,

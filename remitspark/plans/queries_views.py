@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import views
-from .roles import claims
+from .roles import claims, table
 
 
 def exec_monthly(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +17,14 @@ def root_cause(spark: SparkSession, d: str) -> DataFrame:
     return views.denial_root_cause(claims(spark, d))
 
 
+def root_cause_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The root causes with the display label of their code group; one label a code, so the grain stays."""
+    labels = table(spark, d, "orders").groupBy(F.expr("substring(o_orderpriority, 1, 1) as carc_code")).agg(
+        F.expr("min(concat(upper(substring(o_orderpriority, 3, 1)), lower(substring(o_orderpriority, 4)))) as category_label")
+    )
+    return views.denial_root_cause(claims(spark, d), labels)
+
+
 def ar_aging(spark: SparkSession, d: str) -> DataFrame:
     return views.ar_aging(claims(spark, d))
 
@@ -39,6 +48,7 @@ def drift_monthly(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "exec_monthly": exec_monthly,
     "root_cause": root_cause,
+    "root_cause_labelled": root_cause_labelled,
     "ar_aging": ar_aging,
     "payer_perf": payer_perf,
     "provider_quality": provider_quality,
