@@ -2,9 +2,9 @@
 
 All suffixes of a corpus are as many rows as it has bytes. Here only anchors are: of each window of ``length`` bytes the
 q-gram with the smallest hash (the leftmost, if several). Equal windows have equal anchors at the same place, so a
-window can only repeat within its anchor's bucket. The buckets are then refined as in bucket-pointer refinement: by
-identifiers of what lies at later offsets, first of whole runs of windows that share an anchor, then of ever shorter blocks of
-them, and each level takes up only what the level before left open.
+window can only repeat within its anchor's bucket. Bucket-pointer refinement would sort every suffix by bucket identifiers of later offsets;
+here, in its place, the anchors' buckets are refined by hashes of what lies around them: first of whole runs of windows that share an
+anchor, then of ever shorter blocks of them, and each level takes up only what the level before left open.
 """
 
 from __future__ import annotations
