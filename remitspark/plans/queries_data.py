@@ -9,6 +9,7 @@ from ..functions.codes import carc_labels
 from ..functions.inline import values_frame
 from ..operators import checks, contracts, crosswalk, serving, splits, star
 from ..operators import relational as rel
+from ..session import pin
 from ..sources.delimited import reject_report
 from . import views
 from .roles import appeals, claims, payer_dim, service_line_ranges, table
@@ -124,6 +125,7 @@ def slot_unpivot(spark: SparkSession, d: str) -> DataFrame:
     slots = [
         f"max(case when slot = {i} then {c} end) as {c.upper()}{i}" for c in ("code", "flag") for i in range(1, 26)
     ]
+    lines = pin(lines)  # numbered once, read twice
     wide = lines.where("slot <= 25").groupBy("l_orderkey").agg(*[F.expr(s) for s in slots])
     rows = star.diagnosis_fact(wide, "l_orderkey", "CODE", "FLAG", 25)
     over = lines.where("slot > 25").selectExpr("l_orderkey", "slot as dgns_seq", "code as icd_dgns_cd", "flag as poa_ind_sw")
