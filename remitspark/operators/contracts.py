@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.inline import values_frame
 
+KEYS_PER_TASK = 1_000_000
 QUARANTINE_SCHEMA = "table_name string, contract string, entity_key string, reason string"
 
 
@@ -35,12 +38,32 @@ def _number(df: DataFrame, c: str) -> str:
     return f"try_cast({c} as double)" if dict(df.dtypes)[c] == "string" else c
 
 
-def quarantine(df: DataFrame, contract: Contract) -> DataFrame:
+def _copies(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """(keys, _n): how many rows each key has.
+
+    With ``rows`` the keys are dealt into parts of about ``KEYS_PER_TASK``: sorted keys compress so well that parts of equal
+    bytes would hold more of them the larger the table is. Copies within an Arrow batch are combined before they are dealt.
+    """
+    if rows is None:
+        return df.groupBy(*keys).agg(F.expr("count(1) as _n"))
+    only = df.select(*keys)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from pa.Table.from_batches([b]).group_by(list(keys)).aggregate([([], "count_all")]).select([*keys, "count_all"]).rename_columns([*keys, "_n"]).to_batches()
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in only.dtypes)
+    dealt = only.mapInArrow(combine, f"{kinds}, _n bigint").repartition(max(1, math.ceil(rows / KEYS_PER_TASK)), *keys)
+    return dealt.groupBy(*keys).agg(F.expr("sum(_n) as _n"))
+
+
+def quarantine(df: DataFrame, contract: Contract, rows: int | None = None) -> DataFrame:
     """One row per violation: (table_name, contract, entity_key, reason).
 
     Row rules are tested together in one scan. Uniqueness is counted per key (a key with many
     copies is combined before the shuffle) and the copies are written out again by repeating the
-    key, so every duplicate row is quarantined without collecting its copies.
+    key, so every duplicate row is quarantined without collecting its copies. ``rows``: about how many rows there are, if known;
+    it bounds the keys that one task holds.
     """
     t = contract.table
     keys = [k for k in contract.unique_key if k in df.columns]
@@ -61,7 +84,7 @@ def quarantine(df: DataFrame, contract: Contract) -> DataFrame:
             df.selectExpr(f"{entity} as entity_key", f"inline(array_compact(array({', '.join(rules)})))")
         )
     if keys:
-        repeated = df.groupBy(*keys).agg(F.expr("count(1) as _n")).where("_n > 1")
+        repeated = _copies(df, keys, rows).where("_n > 1")
         parts.append(_repeat(repeated, entity, f"duplicate {'+'.join(keys)}"))
     if not parts:
         return df.sparkSession.createDataFrame([], QUARANTINE_SCHEMA)
@@ -84,11 +107,11 @@ def _repeat(repeated: DataFrame, entity: str, reason: str, chunk: int = 10_000)
     ).drop("_copy")
 
 
-def contract_report(df: DataFrame, contract: Contract) -> DataFrame:
+def contract_report(df: DataFrame, contract: Contract, rows: int | None = None) -> DataFrame:
     """(table_name, check_name, violations, passed), one row per rule."""
     missing = missing_columns(df, contract)
     spark = df.sparkSession
-    found = quarantine(df, contract)
+    found = quarantine(df, contract, rows)
     names = []
     if contract.unique_key:
         names.append(("key_uniqueness", f"duplicate {'+'.join(contract.unique_key)}"))

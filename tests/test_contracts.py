@@ -60,3 +60,12 @@ def test_row_reconciliation(spark):
     b = spark.createDataFrame([("x", 3), ("y", 5), ("z", 1)], "name string, row_count long")
     got = {r["name"]: r["passed"] for r in contracts.row_reconciliation(a, b).collect()}
     assert got == {"x": True, "y": False, "z": False}
+
+
+def test_keys_dealt_by_count_give_the_same_rows(spark, as_rows, monkeypatch):
+    monkeypatch.setattr(contracts, "KEYS_PER_TASK", 3)
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, None), (2, None), (2, None), *[(9, "hot")] * 40], "k int, t string")
+    contract = contracts.Contract("x", unique_key=("k", "t"))
+    got = contracts.quarantine(df, contract, rows=48)
+    assert as_rows(got, *got.columns) == as_rows(contracts.quarantine(df, contract), *got.columns)
+    assert contracts._copies(df, ["k", "t"], 48).rdd.getNumPartitions() == 16  # by the rows, not by bytes
