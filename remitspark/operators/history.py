@@ -86,7 +86,8 @@ def add_prior_rates(
     book_side = _history(base, [], outcome, embargo_days).selectExpr(
         _DAY, f"cast(_total as double) / nullif(_count, 0) as {book}", "_total as _bt", "_count as _bc"
     )
-    out = _join_null_safe(base, book_side, [], [book, "_bt", "_bc"])
+    # one row for each calendar day, so it is sent to the rows
+    out = _join_null_safe(base, F.broadcast(book_side), [], [book, "_bt", "_bc"])
     rate_name, count_name, raw_name = names
     for prefix, key in entities.items():
         keys = [key] if isinstance(key, str) else list(key)

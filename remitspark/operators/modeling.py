@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import REASON_CODES, reason_table
 from ..functions.inline import literal, values_frame
+from ..session import pin
 from .leakage import long_numbers
 from .ordering import exact_quantiles, quantile_scalars
 
 MISSING = "__missing__"
 RARE = "__infrequent__"
+FEW_GROUPS = 10_000  # more groups than these are dealt out by a shuffle; the rates are the same
 
 
 @dataclass(frozen=True)
@@ -54,8 +56,8 @@ class Preprocessor:
         kinds = dict(df.dtypes)
         out = df
         for c in self.spec.categorical:
-            # level lists are data-sized in principle, so the join side is left to the optimizer
-            side = self.frequent.where(F.col("feature") == c).selectExpr("level as _level", "true as _ok")
+            # the indexer has every level on the driver already; by a shuffle all rows would go to one task for each level
+            side = F.broadcast(self.frequent.where(F.col("feature") == c).selectExpr("level as _level", "true as _ok"))
             out = (
                 out.withColumn("_level", F.expr(f"coalesce(cast({c} as string), '{MISSING}')"))
                 .join(side, "_level", "left")
@@ -102,7 +104,7 @@ def fit_preprocessor(fit_rows: DataFrame, spec: FeatureSpec, min_frequency: int
         f"struct({literal(c)} as feature, coalesce(cast({c} as string), '{MISSING}') as level)" for c in categorical
     )
     if categorical:
-        frequent = (
+        frequent = pin(
             fit_rows.selectExpr(f"inline(array({items}))")
             .groupBy("feature", "level")
             .agg(F.expr("count(1) as n"))
@@ -201,6 +203,8 @@ def base_rate_scores(fit_rows: DataFrame, rows: DataFrame, label: str, out: str
 def group_rate_scores(fit_rows: DataFrame, rows: DataFrame, group: str, label: str, out: str = "score") -> DataFrame:
     """The fit fold's rate of the row's group; unseen or null groups get the overall rate."""
     rates = fit_rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.expr(f"avg(cast({label} as double)) as _rate"))
+    if fit_rows.where(F.col(group).isNotNull()).select(group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        rates = F.broadcast(rates)  # by a shuffle every group's rows would be one task's
     overall = fit_rows.agg(F.expr(f"avg(cast({label} as double))"))
     return (
         rows.join(rates, group, "left")

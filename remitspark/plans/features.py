@@ -146,6 +146,12 @@ def triage_frame(df: DataFrame) -> DataFrame:
     ).drop("_overturned")
 
 
+def submission_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived claims are written once, with the columns that the frame is made of; the book, three entity histories and the folds all read them."""
+    needed = {*PASSTHROUGH, *SUBMISSION_FEATURES.names, "prvdr_num", *[c for _, needs in ENGINEERED.values() for c in needs]}
+    df = claims(spark, sf_dir, payer=True, provider=True, drg=True)
+    return pin(df.select(*[c for c in df.columns if c in needed]))
+
+
 def submission_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived claims are written once; the book and three entity histories all read them."""
-    return submission_frame(pin(claims(spark, sf_dir, payer=True, provider=True, drg=True)))
+    return submission_frame(submission_base(spark, sf_dir))

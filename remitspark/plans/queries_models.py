@@ -14,7 +14,7 @@ from ..operators import relational as rel
 from ..operators import workqueue as wq
 from ..session import ensure_checkpoint_dir, pin
 from . import views
-from .features import LABEL, SUBMISSION_FEATURES, TIME, submission_claims
+from .features import LABEL, SUBMISSION_FEATURES, TIME, submission_base, submission_frame
 from .queries_data import dq_scorecard
 from .roles import claims, table
 
@@ -309,8 +309,8 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
 
 def _folds(spark: SparkSession, d: str) -> DataFrame:
     """The matrix with fold labels, pinned because every model stage reads it."""
-    dates = claims(spark, d).select(TIME)
-    return pin(splits.nested_split(submission_claims(spark, d), TIME, dates=dates))
+    known = submission_base(spark, d)
+    return pin(splits.nested_split(submission_frame(known), TIME, dates=known.select(TIME)))
 
 
 def _matrix(spark: SparkSession, d: str):

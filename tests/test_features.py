@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 
+from remitspark.plans import roles
 from remitspark.plans import features as f
 
 
@@ -77,3 +78,13 @@ def test_triage_counts_only_decided_appeals(spark):
     assert got[3]["sim_payer_prior_appeals"] == 1 and got[3]["sim_overall_prior_overturn_rate"] == 1.0
     assert got[1]["sim_denied_share_of_billed"] == 0.4 and got[3]["sim_denied_share_of_billed"] is None
     assert got[3]["sim_denial_review_lag_days"] == 9
+
+
+def test_claims_need_no_set_for_each_claim(spark):
+    lines = spark.createDataFrame(
+        [(1, n) for n in (1, 2, 2)] + [(2, n) for n in (1, 65, 65, -1, None)] + [(3, None)], "claim_sk int, line_num int"
+    ).selectExpr("*", *[f"1L as {c}" for c in ("part_key", "provider_key", "quantity", "billed_u", "allowed_u", "discount_pct", "tax_pct")], "date'2020-01-01' as ship_date", *[f"true as {c}" for c in ("is_denied", "is_appeal", "is_final")])
+    got = roles.claim_measures(lines)
+    assert {r["claim_sk"]: (r["distinct_lines"], r["line_count"]) for r in got.collect()} == {1: (2, 3), 2: (3, 5), 3: (0, 1)}
+    plan = roles.claims(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [step for step in plan.splitlines() if "collect_set" in step and "billed_u" in step]

@@ -206,3 +206,15 @@ def test_pair_counts_as_counted_row_by_row(spark):
         want = Counter((0, r[0], r[2]) for r in rows) + Counter((1, r[1], r[0]) for r in rows)
         assert got == dict(want)
     assert pair_counts(df.limit(0), [("a", "c")]).count() == 0
+
+
+def test_few_levels_and_groups_shuffle_no_rows(spark, data):
+    fit = data.where("fold = 'fit'")
+    prep = modeling.fit_preprocessor(fit, SPEC)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (prep.transform(data), modeling.group_rate_scores(fit, data, "g", "y")):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
