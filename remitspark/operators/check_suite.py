@@ -8,6 +8,7 @@ a key that a third of the rows has is one entry for each task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -76,16 +77,33 @@ def run_checks(sources: Sequence[Source], checks: Sequence[KeyCheck | MemberChec
     unknown = {c.domain for c in checks} - {r.domain for r in roles}
     if unknown:
         raise ValueError(f"no source has a key in {sorted(unknown)}")
-    measures = {f"{r.role}_{m}": (r.role, aggregate, sql) for r in roles for m, (aggregate, sql) in r.measures.items()}
+    # a role counts in a place of its domain, a measure adds in one; domains share the places, so a key's counts are few
+    taken: Counter = Counter()
+    place: dict[str, int] = {}
+    sums: dict[str, str] = {}  # shared column -> aggregate
+    column: dict[tuple[str, str], str] = {}
+    for r in roles:
+        place[r.role] = taken[r.domain]
+        taken[r.domain] += 1
+        for m, (aggregate, _) in r.measures.items():
+            column[r.role, m] = f"{aggregate}{taken[r.domain, aggregate]}"
+            sums[column[r.role, m]] = aggregate
+            taken[r.domain, aggregate] += 1
     entries = None
     for s in sources:
-        items = [_entry(literal(r.domain), f"cast({r.key} as string)", literal(r.role), {m: sql for m, (of, _, sql) in measures.items() if of == r.role}, measures) for r in s.roles]
-        items += [f"if({sql}, {_entry(literal(_ROW), literal(name), literal(''), {}, measures)}, null)" for name, sql in s.rules.items()]
-        one = s.frame.selectExpr(f"explode(filter(array({', '.join(items)}), x -> x is not null)) as e").select("e.*")
+        items = [_entry(literal(r.domain), f"cast({r.key} as string)", place[r.role], {column[r.role, m]: sql for m, (_, sql) in r.measures.items()}, sums) for r in s.roles]
+        items += [f"if({sql}, {_entry(literal(_ROW), literal(name), -1, {}, sums)}, null)" for name, sql in s.rules.items()]
+        # rules that hold are dropped after the explode: a lambda over the array would keep Spark from compiling the entries
+        one = s.frame.selectExpr(f"explode(array({', '.join(items)})) as e").where("e is not null").select("e.*")
         entries = one if entries is None else entries.unionByName(one)
-    counts = [F.expr(f"count_if(role = {literal(r.role)}) as n_{r.role}") for r in roles]
-    sums = [F.expr(f"{aggregate}({m}) as {m}") for m, (_, aggregate, _) in measures.items()]
-    per_key = entries.groupBy("domain", "key").agg(F.count(F.lit(1)).alias("n"), *counts, *sums)
+    counts = [F.expr(f"count_if(place = {i}) as _n{i}") for i in range(max(place.values(), default=-1) + 1)]
+    shared = entries.groupBy("domain", "key").agg(
+        F.count(F.lit(1)).alias("n"), *counts, *[F.expr(f"{aggregate}({c}) as {c}") for c, aggregate in sums.items()]
+    )
+    per_key = shared.selectExpr(
+        "domain", "key", "n", *[f"if(domain = {literal(r.domain)}, _n{place[r.role]}, 0L) as n_{r.role}" for r in roles],
+        *[f"if(domain = {literal(r.domain)}, {column[r.role, m]}, null) as {r.role}_{m}" for r in roles for m in r.measures],
+    )
     figures = {name: f"sum(if(domain = {literal(_ROW)} and key = {literal(name)}, n, 0L))" for s in sources for name in s.rules}
     for c in checks:
         if isinstance(c, MemberCheck):
@@ -98,6 +116,6 @@ def run_checks(sources: Sequence[Source], checks: Sequence[KeyCheck | MemberChec
     return row.selectExpr(f"inline(array({cells}))").selectExpr("*", "violations = 0 as passed")
 
 
-def _entry(domain: str, key: str, role: str, own: Mapping[str, str], measures: Mapping[str, tuple[str, str, str]]) -> str:
-    values = ", ".join(f"cast({own.get(m, 'null')} as decimal(28,4)) as {m}" for m in measures)
-    return f"struct({domain} as domain, {key} as key, {role} as role{', ' + values if values else ''})"
+def _entry(domain: str, key: str, place: int, own: Mapping[str, str], columns: Mapping[str, str]) -> str:
+    values = ", ".join(f"cast({own.get(c, 'null')} as decimal(28,4)) as {c}" for c in columns)
+    return f"struct({domain} as domain, {key} as key, {place} as place{', ' + values if values else ''})"

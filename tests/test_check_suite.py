@@ -46,3 +46,20 @@ def test_each_source_is_read_once(spark):
     sources = [Source(one, {"r": "k < 0"}, [KeyRole("a", "k", "k"), KeyRole("b", "other", "k + 1")]), Source(two, {}, [KeyRole("c", "k", "k")])]
     plan = run_checks(sources, [resolves("f", "k", "a", "c"), unique("u", "other", "b"), unique("v", "k", "c")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (0") == 2 and "Join" not in plan
+
+
+def test_domains_share_the_counts_of_a_key(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), (None, 2, None)], "k string, g int, v int")
+    other = spark.createDataFrame([(1, 4), (3, 9)], "g int, v int")
+    sources = [
+        Source(rows, {"small": "v < 6"}, [KeyRole("row", "k", "k", {"v": ("sum", "v"), "top": ("max", "v")}), KeyRole("use", "g", "g", {"v": ("sum", "v")})]),
+        Source(other, {}, [KeyRole("group", "g", "g", {"v": ("sum", "v")})]),
+    ]
+    checks = [
+        unique("rows", "k", "row"), resolves("fk", "g", "use", "group"), resolves("coverage", "g", "group", "use"),
+        KeyCheck("top", "k", "if(row_top <> row_v, 1L, 0L)"), KeyCheck("sums", "g", "if(n_use > 0 and n_group > 0 and use_v <> group_v, 1L, 0L)"),
+    ]
+    done = run_checks(sources, checks)
+    assert {r["check_name"]: r["violations"] for r in done.collect()} == {"small": 1, "rows": 2, "fk": 2, "coverage": 1, "top": 1, "sums": 1}
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "n_group" not in plan.split("Exchange")[-1] and "lambda" not in plan  # two places for three roles, entries compiled
