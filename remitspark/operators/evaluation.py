@@ -379,10 +379,14 @@ def interval(draws: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
 
 
 def paired_auc_difference(
-    df: DataFrame, y: str, score_a: str, score_b: str, key: str, resamples: int = 200, seed: int = 1337, alpha: float = 0.05
+    df: DataFrame, y: str, score_a: str, score_b: str, key: str, resamples: int = 200, seed: int = 1337, alpha: float = 0.05,
+    draws_a: DataFrame | None = None,
 ) -> DataFrame:
-    """(point, low, high, draws) of auc(a) - auc(b) over the same resampled rows."""
-    a = bootstrap_auc(df, y, score_a, key, resamples, seed).withColumnRenamed("auc", "auc_a")
+    """(point, low, high, draws) of auc(a) - auc(b) over the same resampled rows.
+
+    ``draws_a``: what ``bootstrap_auc`` gave for ``score_a`` with the same resamples and seed, if it was worked out before.
+    """
+    a = (bootstrap_auc(df, y, score_a, key, resamples, seed) if draws_a is None else draws_a).withColumnRenamed("auc", "auc_a")
     b = bootstrap_auc(df, y, score_b, key, resamples, seed).withColumnRenamed("auc", "auc_b")
     point = ranking_metrics(df, y, score_a).selectExpr("roc_auc as a").withColumn(
         "b", ranking_metrics(df, y, score_b).select("roc_auc").scalar()

@@ -394,11 +394,12 @@ def driver_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """AUC interval, paired difference of two scores, and capture difference, 200 resamples."""
-    rows = scored(spark, d)
-    one = evl.interval(evl.bootstrap_auc(rows, "y", "score", "claim_sk"), "auc").withColumn(
+    rows = pin(scored(spark, d).select("claim_sk", "y", "score", "score_b", "amount"))  # read by every ranking
+    draws = pin(evl.bootstrap_auc(rows, "y", "score", "claim_sk"))
+    one = evl.interval(draws, "auc").withColumn(
         "point", evl.ranking_metrics(rows, "y", "score").select("roc_auc").scalar()
     )
-    pair = evl.paired_auc_difference(rows, "y", "score", "score_b", "claim_sk")
+    pair = evl.paired_auc_difference(rows, "y", "score", "score_b", "claim_sk", draws_a=draws)
     money = rows.withColumn("at_risk", F.expr("if(y = 1, cast(amount as double), 0D)"))
     share = [evl.dollars_captured(rows, "y", s, "amount", "claim_sk", 0.10).select("share") for s in ("score", "score_b")]
     capture = evl.paired_capture_difference(money, "score", "score_b", "at_risk", "claim_sk", 0.10).withColumn(

@@ -218,3 +218,16 @@ def test_few_levels_and_groups_shuffle_no_rows(spark, data):
             assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bootstrap_query_reads_the_lines_once(spark, monkeypatch):
+    from remitspark.plans import queries_models as q
+
+    made, ranked = [], []
+    scored, auc = q.scored, e.bootstrap_auc
+    monkeypatch.setattr(q, "scored", lambda *a, **k: made.append(1) or scored(*a, **k))
+    monkeypatch.setattr(e, "bootstrap_auc", lambda *a, **k: ranked.append(a[2]) or auc(*a, **k))
+    got = q.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in got._jdf.queryExecution().optimizedPlan().toString() and len(made) == 1
+    assert sorted(ranked) == ["score", "score_b"]
+    assert {r["metric"] for r in got.collect()} == {"auc", "auc_difference", "capture_difference"}
