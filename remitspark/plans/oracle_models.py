@@ -332,10 +332,11 @@ from (select difference, x.b, x.share - y.share as d from pairs join shares x on
         "pairs(difference, l, r) as (values " + ", ".join(f"('{a}_minus_{b}', '{a}', '{b}')" for a, b in RULE_PAIRS) + ")",
     ),
     "probability_source": with_claims(
-        """select claim_sk, cat as category, round(coalesce(given, shipped, r, (select avg(r) from rates)), 9) as probability,
+        """select claim_sk, asked, cat as category, round(coalesce(given, shipped, r, (select avg(r) from rates)), 9) as probability,
   case when given is not null then 'caller' when shipped is not null then 'shipped_score' when r is not null then 'category_rule' else 'book_rate' end as probability_source
-from (select claim_sk, category as cat, cast(null as double) as given,
-  case when appeal_levels is null then cast(doc4 as double) / 10000 / 200 end as shipped from doc where denied) q left join rates on rates.category = q.cat""",
+from (select claim_sk, asked, case when asked <> 'neither' then category end as cat, case when asked = 'estimate' then cast(cod4 as double) / 10000 / 50 end as given,
+  case when asked in ('estimate', 'claim') then cast(doc4 as double) / 10000 / 200 end as shipped
+  from doc, (values ('estimate'), ('claim'), ('category'), ('neither')) ways(asked) where denied) q left join rates on rates.category = q.cat""",
         _S,
         """rates as (select category, cast(count(*) filter (where overturned) as double) / count(appeal_levels) as r from claims where denied group by 1 having count(appeal_levels) > 0)""",
     ),

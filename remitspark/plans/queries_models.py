@@ -208,19 +208,26 @@ def rule_differences(spark: SparkSession, d: str) -> DataFrame:
     return rounded(paired.rule_differences(rows.join(queue, "claim_sk"), "claim_sk", rules, RULE_PAIRS, "recovered", 0.10), 6)
 
 
+# how a request may be put: the caller's own estimate, the claim, its category alone (a claim that no run has scored), neither
+ASKED = {
+    "estimate": ("claim_sk", "sim_denial_category", "own"),
+    "claim": ("claim_sk", "sim_denial_category", "cast(null as double)"),
+    "category": ("-1 - claim_sk", "sim_denial_category", "cast(null as double)"),
+    "neither": ("-1 - claim_sk", "cast(null as string)", "cast(null as double)"),
+}
+
+
 def probability_source(spark: SparkSession, d: str) -> DataFrame:
-    """Where each claim's overturn probability comes from."""
+    """Every denied claim's overturn probability and where it comes from, for each way a request may be put."""
     c = claims(spark, d).where("sim_denial_flag")
-    requests = c.selectExpr(
-        "claim_sk", "sim_denial_category as category", "cast(null as double) as given",
-    )
-    # claims that already have an appeal outcome are not scored: these take their category's rate
-    shipped = queue_rows(spark, d).join(c.where("sim_appeal_levels is null").select("claim_sk"), "claim_sk", "left_semi").selectExpr("claim_sk", "p as p_shipped")
+    ways = ", ".join(f"struct('{asked}' as asked, {key} as known, {category} as category, {given} as given)" for asked, (key, category, given) in ASKED.items())
+    requests = c.withColumn("own", F.expr("cast(sim_coding_complexity_score as double) / 50D")).selectExpr("claim_sk", f"inline(array({ways}))")
+    shipped = queue_rows(spark, d).selectExpr("claim_sk as known", "p as p_shipped")
     rates = serving.category_overturn_rates(views.denial_root_cause(c)).selectExpr(
         "sim_denial_category as category", "overturn_rate as p_category"
     )
-    out = wq.resolve_probability(requests, shipped, rates, "claim_sk", "category", "given")
-    return rounded(out.drop("given"), 9)
+    out = wq.resolve_probability(requests, shipped, rates, "known", "category", "given")
+    return rounded(out.drop("given", "known"), 9)
 
 
 def headline(spark: SparkSession, d: str) -> DataFrame:

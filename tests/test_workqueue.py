@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitspark.operators import workqueue as w
+from remitspark.plans import queries_models
+from remitspark.plans.roles import claims
 
 E = w.Economics()
 AS_OF = dt.date(2024, 6, 1)
+SF = "/root/testdata/sf0.001"
 
 
 def queue(spark, data, as_of="date'2024-06-01'", economics=E):
@@ -92,6 +95,13 @@ def test_probability_sources(spark):
     assert got == {1: (0.9, "caller"), 2: (0.4, "shipped_score"), 3: (0.2, "category_rule"), 4: (pytest.approx(0.4), "book_rate")}
 
 
+def test_every_denied_claim_is_asked_in_every_way(spark):
+    rows = queries_models.probability_source(spark, SF)
+    denied = claims(spark, SF).where("sim_denial_flag").count()
+    got = {(r["asked"], r["probability_source"]): r["count"] for r in rows.groupBy("asked", "probability_source").count().collect()}
+    assert denied > 0 and got == {("estimate", "caller"): denied, ("claim", "shipped_score"): denied, ("category", "category_rule"): denied, ("neither", "book_rate"): denied}
+
+
 def test_rules_share_ties_and_capacity(spark):
     df = spark.range(100).selectExpr("id as k", "cast(id as double) as dollars")
     got = {r["rule"]: r for r in w.compare_rules(df, "k", {"best": "dollars", "flat": "0D"}, "dollars", 0.1).collect()}
