@@ -79,15 +79,15 @@ def _between(cells: DataFrame) -> DataFrame:
     return below.select((F.col("events").cast("decimal(19,0)") * F.col("below").cast("decimal(19,0)")).cast("string").alias("pairs"))
 
 
-def concordance(df: DataFrame, dur: str, event: str, score: str, partitions: int | None = None) -> DataFrame:
+def concordance(df: DataFrame, dur: str, event: str, score: str, partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """One row: comparable, concordant and tied pairs, and the index (concordant + tied / 2) / comparable.
 
     A pair is comparable if the earlier row is an event, or if of two rows of one time exactly one is. It is concordant if the
     earlier one has the larger score. Rows with a null time, event or score take no part; without comparable pairs the index
-    is null.
+    is null. ``weight`` names a column that tells how many equal rows a row stands for.
     """
-    rows = df.selectExpr(f"cast({dur} as double) as t", f"cast({event} as int) as e", f"cast({score} as double) as s").where("t is not null and e is not null and s is not null")
-    merged = rows.groupBy("t", F.expr("1 - e").alias("c"), "s").agg(F.count(F.lit(1)).alias("rows")).withColumn("events", F.expr("if(c = 0, rows, 0L)"))
+    rows = df.selectExpr(f"cast({dur} as double) as t", f"cast({event} as int) as e", f"cast({score} as double) as s", f"cast({weight or '1'} as bigint) as n").where("t is not null and e is not null and s is not null")
+    merged = rows.groupBy("t", F.expr("1 - e").alias("c"), "s").agg(F.sum("n").alias("rows")).withColumn("events", F.expr("if(c = 0, rows, 0L)"))
     by_time = range_sorted(merged, ["t", "c", "s"], partitions).withColumnRenamed("_part", "p")
     placed = by_time.withColumn("at", F.monotonically_increasing_id())
     by_score = range_sorted(placed, ["s", "at"], partitions).withColumnRenamed("_part", "b")

@@ -28,6 +28,11 @@ def survival_frame(df: DataFrame, start: str, paid: str, other_dates: Sequence[s
     )
 
 
+def merged_rows(df: DataFrame, columns: Sequence[str], out: str = "rows") -> DataFrame:
+    """Equal rows as one, with their number: as many rows as there are different values, whatever the input."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(out))
+
+
 def kaplan_meier(df: DataFrame, dur: str = "dur", event: str = "event", groups: Sequence[str] = ()) -> DataFrame:
     """Survival curve rows (groups…, t, at_risk, deaths, censored, survival).
 
@@ -70,13 +75,14 @@ def cox_regression(
     ridge: float = 0.01,
     max_iter: int = 25,
     tolerance: float = 1e-7,
+    weight: str | None = None,
 ) -> DataFrame:
     """Cox proportional hazards with Breslow ties: (covariate, coef, hazard_ratio, se, z, p, ci_low, ci_high).
 
     Each Newton step is one Spark job: rows are merged to (stratum, day) sums of exp(xb), x*exp(xb)
     and x*x'*exp(xb), a reverse running sum over days gives the risk sets, and only the p-vector
     gradient and p-by-p information matrix reach the driver. ``ridge`` penalises b'b as
-    ridge * n / 2.
+    ridge * n / 2. ``weight`` names a column that tells how many equal rows a row stands for.
     """
     p = len(covariates)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -84,11 +90,12 @@ def cox_regression(
         *([f"{strata} as _s"] if strata else ["1 as _s"]),
         f"cast({dur} as int) as _t",
         f"cast({event} as double) as _e",
+        f"{weight or '1L'} as _w",
         *[f"cast({c} as double) as x{i}" for i, c in enumerate(covariates)],
     )
     # identical rows are merged once: covariates of claims repeat, and the sums only need counts
     keep = keep.groupBy("_s", "_t", *[f"x{i}" for i in range(p)]).agg(
-        F.expr("sum(_e) as _d"), F.expr("cast(count(1) as double) as _n")
+        F.expr("sum(_e * _w) as _d"), F.expr("cast(sum(_w) as double) as _n")
     ).persist()
     rows = keep.agg(F.expr("sum(_n)")).first()[0]
     beta = np.zeros(p)
@@ -150,21 +157,23 @@ def _cox_step(rows: DataFrame, beta: np.ndarray, pairs: list[tuple[int, int]]) -
 
 
 def schoenfeld_check(
-    df: DataFrame, dur: str, event: str, covariates: Sequence[str], coefficients: Sequence[float], strata: str | None = None
+    df: DataFrame, dur: str, event: str, covariates: Sequence[str], coefficients: Sequence[float], strata: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Correlation of scaled-free Schoenfeld residuals with the rank of time, per covariate.
 
     Per day the residual is the mean covariate of those paid minus the risk-set mean; days are
-    weighted by their payments. (covariate, correlation, z, p_value)
+    weighted by their payments. (covariate, correlation, z, p_value). ``weight`` as in :func:`cox_regression`.
     """
     p = len(covariates)
     xb = " + ".join(f"({float(b)!r}D * x{i})" for i, b in enumerate(coefficients))
     rows = df.selectExpr(
         *([f"{strata} as _s"] if strata else ["1 as _s"]),
         f"cast({dur} as int) as _t",
-        f"cast({event} as double) as _e",
+        f"cast({event} as double) * {weight or '1L'} as _e",
+        f"{weight or '1L'} as _w",
         *[f"cast({c} as double) as x{i}" for i, c in enumerate(covariates)],
-    ).selectExpr("*", f"exp({xb}) as w")
+    ).selectExpr("*", f"_w * exp({xb}) as w")
     per_t = rows.groupBy("_s", "_t").agg(
         F.expr("sum(_e) as d"),
         F.expr("sum(w) as s0"),

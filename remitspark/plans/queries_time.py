@@ -179,9 +179,13 @@ def cost_pivot(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- survival and tests
 
 
-def _survival(spark: SparkSession, d: str) -> DataFrame:
-    c = claims(spark, d, payer=True, drg=True)
-    return survival.survival_frame(c, "sim_submission_date", "sim_payment_date", ["sim_adjudication_date"])
+SURVIVAL_DATES = ("sim_submission_date", "sim_payment_date", "sim_adjudication_date")
+
+
+def _survival(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The survival frame with some more columns; claims are derived once, for the snapshot date and for the rows."""
+    c = pin(claims(spark, d, payer="sim_payer_id" in columns).select(*SURVIVAL_DATES, *columns))
+    return survival.survival_frame(c, *SURVIVAL_DATES[:2], SURVIVAL_DATES[2:])
 
 
 def km(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +193,7 @@ def km(spark: SparkSession, d: str) -> DataFrame:
 
 
 def km_by_payer(spark: SparkSession, d: str) -> DataFrame:
-    curve = survival.kaplan_meier(_survival(spark, d), groups=["sim_payer_id"])
+    curve = survival.kaplan_meier(_survival(spark, d, "sim_payer_id"), groups=["sim_payer_id"])
     return rounded(survival.paid_by(curve, [30, 60, 90, 120], ["sim_payer_id"]), 9)
 
 
@@ -271,20 +275,22 @@ COX = ("sim_auth_missing", "sim_documentation_complete", "line_count")
 
 
 def _cox_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _survival(spark, d).selectExpr(
+    """Claims of equal time, outcome, payer and covariates as one row: what the fits and rankings read does not grow with the claims."""
+    rows = _survival(spark, d, "sim_payer_id", "sim_auth_missing", "sim_documentation_complete", "line_count").selectExpr(
         "dur", "event", "sim_payer_id", "cast(sim_auth_missing as int) as sim_auth_missing",
         "cast(sim_documentation_complete as int) as sim_documentation_complete", "line_count",
     )
+    return pin(survival.merged_rows(rows, ["dur", "event", "sim_payer_id", *COX], "claims"))
 
 
 def cox(spark: SparkSession, d: str) -> DataFrame:
     """Naive and payer-stratified Cox fits, with the concordance of each fit's risk score."""
-    rows = pin(_cox_rows(spark, d))
+    rows = _cox_rows(spark, d)
     fits = {}
     for name, strata in (("naive", None), ("stratified", "sim_payer_id")):
-        fit = pin(survival.cox_regression(rows, "dur", "event", COX, strata=strata))
+        fit = pin(survival.cox_regression(rows, "dur", "event", COX, strata=strata, weight="claims"))
         risk = " + ".join(f"({r['coef']!r}D * {r['covariate']})" for r in fit.collect())  # one row a covariate
-        index = conc.concordance(rows.withColumn("risk", F.expr(risk)), "dur", "event", "risk")
+        index = conc.concordance(rows.withColumn("risk", F.expr(risk)), "dur", "event", "risk", weight="claims")
         fits[name] = fit.withColumn("concordance", index.select("concordance").scalar())
     return rel.union_labelled(fits, "fit")
 
@@ -298,16 +304,16 @@ RISK_SCORES = {
 
 def concordance(spark: SparkSession, d: str) -> DataFrame:
     """Harrell's concordance of three risk scores with the time to payment: few values, some, and one for each claim."""
-    base = _survival(spark, d)
+    base = _survival(spark, d, "sim_auth_missing", "sim_documentation_complete", "line_count", "billed_charge_amt")
     rows = pin(base.selectExpr("dur", "event", *[f"{sql} as {name}" for name, sql in RISK_SCORES.items()]))
     return rounded(rel.union_labelled({name: conc.concordance(rows, "dur", "event", name) for name in RISK_SCORES}, "risk_score"), 9)
 
 
 def ph_check(spark: SparkSession, d: str) -> DataFrame:
     rows = _cox_rows(spark, d)
-    fit = survival.cox_regression(rows, "dur", "event", COX)
+    fit = survival.cox_regression(rows, "dur", "event", COX, weight="claims")
     coefs = {r["covariate"]: r["coef"] for r in fit.collect()}
-    return survival.schoenfeld_check(rows, "dur", "event", COX, [coefs[c] for c in COX])
+    return survival.schoenfeld_check(rows, "dur", "event", COX, [coefs[c] for c in COX], weight="claims")
 
 
 QUERIES = {

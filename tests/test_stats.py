@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from remitspark.functions.scalars import log_factorial, poisson_tail
 from remitspark.functions.tails import normal_two_sided, upper_gamma
 from remitspark.operators import stats, survival
+from remitspark.operators.concordance import concordance
+from remitspark.plans import queries_time
 from remitspark.plans.roles import LINE_MEASURES
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_tail_functions():
     assert upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-9)
@@ -120,6 +124,27 @@ def test_cox_recovers_the_hazard_and_matches_brute_force(spark):
     assert abs(ph["correlation"]) < 0.2
 
 
+def test_merged_rows_fit_as_the_rows_themselves(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(t), int(e), int(x), "ab"[int(s)]) for t, e, x, s in zip(rng.integers(1, 9, 400), rng.integers(0, 2, 400), rng.integers(0, 3, 400), rng.integers(0, 2, 400))]
+    df = spark.createDataFrame(rows, "dur int, event int, x int, s string")
+    merged = survival.merged_rows(df, ["dur", "event", "x", "s"], "n")
+    assert merged.count() < 100 and merged.agg({"n": "sum"}).first()[0] == 400
+    for strata in (None, "s"):
+        one, two = (survival.cox_regression(d, "dur", "event", ["x"], strata=strata, weight=w).first() for d, w in ((df, None), (merged, "n")))
+        assert tuple(one)[1:] == pytest.approx(tuple(two)[1:], rel=1e-9)
+        one, two = (survival.schoenfeld_check(d, "dur", "event", ["x"], [0.3], strata, weight=w).first() for d, w in ((df, None), (merged, "n")))
+        assert tuple(one)[1:] == pytest.approx(tuple(two)[1:], rel=1e-9)
+    one, two = (concordance(d, "dur", "event", "x", 3, weight=w).first() for d, w in ((df, None), (merged, "n")))
+    assert tuple(one) == tuple(two)
+
+
+def test_the_cox_queries_read_each_combination_once(spark):
+    rows = queries_time._cox_rows(spark, SF)
+    twice = rows.groupBy("dur", "event", "sim_payer_id", *queries_time.COX).count().where("count > 1")
+    assert twice.isEmpty() and rows.agg({"claims": "sum"}).first()[0] == queries_time._survival(spark, SF).count()
+
+
 def test_segmented_regression_matches_numpy_and_recovers_the_effect(spark):
     rng = np.random.default_rng(20260723)
     t = np.arange(60)
