@@ -37,34 +37,36 @@ def filter_audit(base: DataFrame, failing: dict[str, DataFrame], lost: dict[str,
     """
     letters = list(failing)
     bit = {f: 1 << i for i, f in enumerate(letters)}
+    k = len(letters)
     base = base.select("key", "part")
-    relation = {f: stored(failing[f].select("key", "part")) for f in letters}
-    any_failing = _all([relation[f].select("key") for f in letters])
-    clean = base.join(any_failing, "key", "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("clean"))
+    # every step is written and read again: no plan holds more than a few joins, whatever the number of filters
+    relation = stored(_all([failing[f].select("key", "part", F.lit(f).alias("filter"), F.lit(bit[f]).alias("bit")) for f in letters]))
+    any_failing = relation.select("key")
+    clean = stored(base.join(any_failing, "key", "left_anti").groupBy("part").agg(F.count(F.lit(1)).alias("clean")))
 
     mask = F.col("mask")
-    alive = base.join(any_failing, "key", "left_semi").withColumn("mask", F.lit(0))
+    alive = stored(base.join(any_failing, "key", "left_semi").withColumn("mask", F.lit(0)))
     for f in letters:
-        alive = alive.unionByName(stored(alive.join(relation[f], "key", "left_anti").withColumn("mask", mask.bitwiseOR(F.lit(bit[f])))))
-    survivors = alive.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("survivors"))
-    open_to = {f: alive.filter(mask.bitwiseAND(F.lit(bit[f])) == 0) for f in letters}
-    removed = stored(_all([open_to[f].join(relation[f], "key", "left_semi").withColumn("filter", F.lit(f)) for f in letters]))
-
-    k = len(letters)
-    before = {f: [m for m in range(1 << k) if not m & bit[f]] for f in letters}  # the sets that a filter may come after
-    tried = _all([relation[f].select("key", "part", F.lit(f).alias("filter"), F.explode(F.array(*map(F.lit, before[f]))).alias("mask")) for f in letters])
+        alive = alive.unionByName(stored(alive.join(relation.filter(F.col("filter") == f), "key", "left_anti").withColumn("mask", mask.bitwiseOR(F.lit(bit[f])))))
+    survivors = stored(alive.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("survivors")))
+    still_open = F.filter(_table(list(bit.items()), ("filter", "bit")), lambda x: mask.bitwiseAND(x["bit"]) == 0)
+    open_to = alive.select("key", "part", "mask", F.explode(still_open).alias("at")).select("key", "part", "mask", "at.filter")
+    removed = stored(open_to.join(relation.select("filter", "key"), ["filter", "key"], "left_semi"))
+
+    before = F.filter(F.sequence(F.lit(0), F.lit((1 << k) - 1)), lambda m: m.bitwiseAND(F.col("bit")) == 0)  # the sets that a filter may come after
+    tried = relation.select("key", "part", "filter", F.explode(before).alias("mask"))
     cases = {"removed": removed, "redundant": tried.join(removed, ["filter", "mask", "key"], "left_anti")}
     cases |= {f"{name}_lost": removed.join(keys.select("key"), "key", "left_semi") for name, keys in lost.items()}
-    counts = _all([x.groupBy("part", "filter", "mask").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(name)) for name, x in cases.items()])
+    counts = _all([stored(x.groupBy("part", "filter", "mask").agg(F.count(F.lit(1)).alias("n"))).withColumn("what", F.lit(name)) for name, x in cases.items()])
     counts = counts.groupBy("part", "filter", "mask").pivot("what", list(cases)).agg(F.sum("n"))
-    alone = _all([_without(relation, f).groupBy("part").agg(F.count(F.lit(1)).alias("unique_fails")).withColumn("filter", F.lit(f)) for f in letters])
+    alone = stored(_alone(relation).groupBy("part", "filter").agg(F.count(F.lit(1)).alias("unique_fails")))
 
-    parts = base.select("part").distinct().join(clean, "part", "left")
-    places = [(f, m, m | bit[f], factorial(m.bit_count()) * factorial(k - 1 - m.bit_count())) for f in letters for m in before[f]]
+    parts = stored(base.select("part").distinct()).join(clean, "part", "left")
+    places = [(f, m, m | bit[f], factorial(m.bit_count()) * factorial(k - 1 - m.bit_count())) for f in letters for m in range(1 << k) if not m & bit[f]]
     grid = parts.select("part", "clean", F.explode(_table(places, ("filter", "mask", "after", "orders"))).alias("at")).select("part", "clean", "at.*")
     grid = grid.join(counts, ["part", "filter", "mask"], "left").join(alone, ["part", "filter"], "left")
     after = survivors.select("part", F.col("mask").alias("after"), "survivors")
-    grid = grid.join(after, ["part", "after"], "left").fillna(0)
+    grid = stored(grid.join(after, ["part", "after"], "left").fillna(0))
     shapley = grid.groupBy("part", "filter").agg(F.sum(F.col("removed") * F.col("orders")).alias("shapley"))
     orders = []
     for order in permutations(letters):
@@ -78,10 +80,10 @@ def filter_audit(base: DataFrame, failing: dict[str, DataFrame], lost: dict[str,
     return found.select("part", "filter_order", "step", *numbers)
 
 
-def _without(relation: dict[str, DataFrame], letter: str) -> DataFrame:
-    """Keys that fail this filter and no other."""
-    others = [x.select("key") for f, x in relation.items() if f != letter]
-    return relation[letter].join(_all(others), "key", "left_anti") if others else relation[letter]
+def _alone(relation: DataFrame) -> DataFrame:
+    """Keys that fail a filter and no other, with that filter."""
+    other = relation.select(F.col("key").alias("_key"), F.col("filter").alias("_filter"))
+    return relation.join(other, (F.col("key") == F.col("_key")) & (F.col("filter") != F.col("_filter")), "left_anti")
 
 
 def _table(rows: list[tuple], names: tuple[str, ...]) -> Column:

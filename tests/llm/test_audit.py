@@ -88,3 +88,11 @@ def test_no_failures_and_no_rows(spark):
     got = found(audit.audit_documents(documents(spark, clean), labels))
     assert len(got) == 600 and set(got.values()) == {(3, 0, 0, 0, 0, 0, 0)}
     assert audit.audit_documents(documents(spark, []), labels).count() == 0
+
+
+def test_the_plan_stays_small(spark):
+    """Steps are written one by one: what is left to plan at the end joins counts, not the documents of 32 sets."""
+    base = spark.range(40).selectExpr("id AS key", "'p' AS part")
+    failing = {f: base.filter(f"key % {n} = 0") for f, n in zip("ABCDE", (2, 3, 5, 7, 11))}
+    got = audit.filter_audit(base, failing, {"odd": base.filter("key % 2 = 1")})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
