@@ -51,11 +51,12 @@ def filter_audit(base: DataFrame, failing: dict[str, DataFrame], lost: dict[str,
     survivors = stored(alive.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("survivors")))
     still_open = F.filter(_table(list(bit.items()), ("filter", "bit")), lambda x: mask.bitwiseAND(x["bit"]) == 0)
     open_to = alive.select("key", "part", "mask", F.explode(still_open).alias("at")).select("key", "part", "mask", "at.filter")
-    removed = stored(open_to.join(relation.select("filter", "key"), ["filter", "key"], "left_semi"))
+    # these two sides grow with documents times filters; small files of them would fill the driver as a broadcast
+    removed = stored(open_to.join(relation.select("filter", "key").hint("merge"), ["filter", "key"], "left_semi"))
 
     before = F.filter(F.sequence(F.lit(0), F.lit((1 << k) - 1)), lambda m: m.bitwiseAND(F.col("bit")) == 0)  # the sets that a filter may come after
     tried = relation.select("key", "part", "filter", F.explode(before).alias("mask"))
-    cases = {"removed": removed, "redundant": tried.join(removed, ["filter", "mask", "key"], "left_anti")}
+    cases = {"removed": removed, "redundant": tried.join(removed.hint("merge"), ["filter", "mask", "key"], "left_anti")}
     cases |= {f"{name}_lost": removed.join(keys.select("key"), "key", "left_semi") for name, keys in lost.items()}
     counts = _all([stored(x.groupBy("part", "filter", "mask").agg(F.count(F.lit(1)).alias("n"))).withColumn("what", F.lit(name)) for name, x in cases.items()])
     counts = counts.groupBy("part", "filter", "mask").pivot("what", list(cases)).agg(F.sum("n"))
