@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import REASON_CODES, reason_table
 from ..functions.inline import literal, values_frame
 from ..session import pin
+from .boosting import fit_trees
 from .leakage import long_numbers
 from .ordering import exact_quantiles, quantile_scalars
 
@@ -154,14 +155,12 @@ def fit_logistic(rows: DataFrame, label: str, c: float = 1.0, max_iter: int = 10
 
 def fit_boosted(
     rows: DataFrame, label: str, trees: int = 300, depth: int = 4, step: float = 0.05, subsample: float = 0.8,
-    columns: str = "0.8", min_rows: int = 20, seed: int = 1337, checkpoint_every: int = 10,
+    columns: float = 0.8, min_rows: int = 20, seed: int = 1337, key: str | None = None,
 ) -> Model:
-    """Gradient-boosted trees on the same feature vector."""
-    data = rows.withColumn("_label", F.col(label).cast("double"))
-    return GBTClassifier(
-        labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-        featureSubsetStrategy=columns, minInstancesPerNode=min_rows, seed=seed, checkpointInterval=checkpoint_every,
-    ).fit(data)
+    """Gradient-boosted trees on the same feature vector; ``columns`` is the share of slots that a node may split on."""
+    return fit_trees(
+        rows, label, key, trees=trees, depth=depth, step=step, subsample=subsample, columns=columns, min_rows=min_rows, seed=seed
+    )
 
 
 def raw_scores(model: Model, rows: DataFrame, out: str = "score") -> DataFrame:

@@ -355,7 +355,7 @@ def model_metrics(spark: SparkSession, d: str) -> DataFrame:
 def gbt(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees on the same matrix: test-fold metrics."""
     _, _, ready = _matrix(spark, d)
-    model = modeling.fit_boosted(ready.where("fold = 'fit'"), LABEL)
+    model = modeling.fit_boosted(ready.where("fold = 'fit'"), LABEL, key="claim_sk")
     scored_rows = modeling.raw_scores(model, ready.where("fold = 'test'")).selectExpr(f"cast({LABEL} as int) as y", "score")
     return evl.ranking_metrics(scored_rows, "y", "score")
 
@@ -368,7 +368,7 @@ def training_run(spark: SparkSession, d: str) -> DataFrame:
         "payer_rule": modeling.group_rate_scores(fit, held, "sim_payer_id", LABEL),
         "base_rate": modeling.base_rate_scores(fit, held, LABEL),
     }
-    candidates = {"boosted": lambda x: modeling.fit_boosted(x, LABEL), "logistic": lambda x: modeling.fit_logistic(x, LABEL)}
+    candidates = {"boosted": lambda x: modeling.fit_boosted(x, LABEL, key="claim_sk"), "logistic": lambda x: modeling.fit_logistic(x, LABEL)}
     run = training.train(ready, LABEL, candidates, baselines={n: x.select("claim_sk", "fold", LABEL, "score") for n, x in scores.items()})
     return rounded(training.run_report(run), 9)
 
