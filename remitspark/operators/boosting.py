@@ -33,6 +33,8 @@ CODE_BITS = 12
 BLOCK_ROWS = 1 << 15
 #: Rows that a task counts before there are more tasks than cores.
 TASK_ROWS = 1 << 22
+#: Rows below which another task costs more than it counts.
+FEW_ROWS = 1 << 17
 UNIT = float(1 << 24)
 #: Blocks are arrays of bytes already; kept as they are, no job has to unpack them.
 HELD = StorageLevel.MEMORY_AND_DISK_DESER
@@ -367,7 +369,7 @@ def fit_trees(
     packed = pin(data.mapInArrow(partial(_packed, layout=layout), "codes binary, y binary, key binary"))
     n = packed.agg(F.sum(F.length("y"))).first()[0]
     cores = spark.sparkContext.defaultParallelism
-    parts = cores * -(-n // (cores * TASK_ROWS))
+    parts = min(-(-n // FEW_ROWS), cores * -(-n // (cores * TASK_ROWS)))
     codes = layout.codes
     read = packed.rdd.map(lambda r: _block(r, codes)).zipWithIndex().map(lambda p: (p[1], p[0]))
     start = read.partitionBy(parts, int).values().persist(HELD)
