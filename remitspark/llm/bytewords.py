@@ -51,12 +51,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """Hashes of any byte spans of a buffer: prefix sums of random byte values times powers of a multiplier."""
+    """Hashes of any spans of bytes, or of 64-bit numbers: prefix sums of random values times powers of a multiplier."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         self.power, self.inverse = powers(len(data))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[seed][data] * self.power[: len(data)], out=self.sums[1:])
+        values = _BYTE_VALUES[seed][data] if data.dtype == np.uint8 else mixed(data * np.uint64(2 * seed + 1) + np.uint64(seed))
+        np.cumsum(values * self.power[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))

@@ -18,7 +18,7 @@ def op2_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, d, "documents"))
+    return repeats.remove_repeats(table(spark, d, "documents"), passage_words=repeats.WORDS)
 
 
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
