@@ -35,6 +35,16 @@ def event_timestamp(date: Column, seq: Column, start_hour: int = 7, step_minutes
     return F.timestamp_add("MINUTE", minutes.cast("int"), date.cast("timestamp_ntz"))
 
 
+def timeline_rows(timeline: Mapping[str, tuple[int, str]]) -> Column:
+    """The events of one row, as an array; dates that are missing are in it."""
+    return F.array(
+        *[
+            F.struct(F.lit(kind).alias("event_type"), F.lit(rank).alias("rank"), F.col(column).cast("date").alias("event_date"))
+            for kind, (rank, column) in timeline.items()
+        ]
+    )
+
+
 def timeline_to_events(
     claims: DataFrame,
     case: str,
@@ -48,13 +58,7 @@ def timeline_to_events(
     rank, lag days after the case's last event). Output: case, event_type, event_date, rank, seq,
     event_ts.
     """
-    rows = F.array(
-        *[
-            F.struct(F.lit(kind).alias("event_type"), F.lit(rank).alias("rank"), F.col(column).cast("date").alias("event_date"))
-            for kind, (rank, column) in timeline.items()
-        ]
-    )
-    log = claims.select(case, F.inline(rows)).where("event_date is not null")
+    log = claims.select(case, F.inline(timeline_rows(timeline))).where("event_date is not null")
     if extra is not None:
         log = log.unionByName(extra.select(case, "event_type", "rank", "event_date"))
     if closing is not None:
@@ -65,6 +69,25 @@ def timeline_to_events(
     return numbered.withColumn("event_ts", event_timestamp(F.col("event_date"), F.col("event_seq")))
 
 
+def number_in_array(df: DataFrame, events: str, closing: tuple[str, int, int] | None = None, out: str = "log") -> DataFrame:
+    """The numbered log of a case from the array of its events (:func:`timeline_rows`), in the case's own row.
+
+    Numbers, times and the closing event are those of :func:`timeline_to_events`, without an exchange of the events. For cases with few
+    events, as a case is one array; ``out`` holds (event_type, event_date, event_seq, event_ts).
+    """
+    if closing is not None:
+        kind, rank, lag = closing
+        last = F.date_add(F.array_max(F.transform(events, lambda e: e["event_date"])), lag)
+        closed = F.struct(F.lit(kind).alias("event_type"), F.lit(rank).alias("rank"), last.alias("event_date"))
+        df = df.withColumn(events, F.when(F.size(events) > 0, F.concat(events, F.array(closed))).otherwise(F.col(events)))
+    keys = lambda e: F.struct(e["event_date"].isNull().alias("undated"), e["event_date"].alias("event_date"), e["rank"].alias("rank"), e["event_type"].alias("event_type"))
+    df = df.withColumn(out, F.sort_array(F.transform(events, keys)))
+    numbered = lambda e, i: F.struct(
+        e["event_type"].alias("event_type"), e["event_date"].alias("event_date"), (i + 1).alias("event_seq"), event_timestamp(e["event_date"], i + 1).alias("event_ts")
+    )
+    return df.withColumn(out, F.transform(out, numbered))
+
+
 def not_increasing(events: DataFrame, case: str, seq: str, ts: str) -> DataFrame:
     """Events whose timestamp is not later than that of the event numbered one less in their case.
 

@@ -114,23 +114,22 @@ def event_log_build(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Event type -> rank within a day and date of a claim; the recovery is posted for claims with an appeal that was overturned.
+CLAIM_TIMELINE = {
+    "CODING_COMPLETE": (1, "service_date"),
+    "CLAIM_SUBMITTED": (2, "sim_submission_date"),
+    "ADJUDICATED": (3, "sim_adjudication_date"),
+    "DENIAL_REVIEWED": (4, "sim_denial_review_date"),
+    "PAYMENT_POSTED": (5, "sim_payment_date"),
+}
+RECOVERY = {"APPEAL_RECOVERY_POSTED": (6, "sim_denial_review_date")}
+CLOSING = ("CLAIM_CLOSED", 9, 3)
+
+
 def claim_log(spark: SparkSession, d: str) -> DataFrame:
     c = claims(spark, d)
-    return ev.timeline_to_events(
-        c,
-        "claim_sk",
-        {
-            "CODING_COMPLETE": (1, "service_date"),
-            "CLAIM_SUBMITTED": (2, "sim_submission_date"),
-            "ADJUDICATED": (3, "sim_adjudication_date"),
-            "DENIAL_REVIEWED": (4, "sim_denial_review_date"),
-            "PAYMENT_POSTED": (5, "sim_payment_date"),
-        },
-        extra=c.where("any_overturned").selectExpr(
-            "claim_sk", "'APPEAL_RECOVERY_POSTED' as event_type", "6 as rank", "sim_denial_review_date as event_date"
-        ),
-        closing=("CLAIM_CLOSED", 9, 3),
-    )
+    recovered = c.where("any_overturned").select("claim_sk", F.inline(ev.timeline_rows(RECOVERY)))
+    return ev.timeline_to_events(c, "claim_sk", CLAIM_TIMELINE, extra=recovered, closing=CLOSING)
 
 
 def event_order(spark: SparkSession, d: str) -> DataFrame:

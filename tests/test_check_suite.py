@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from remitspark.operators.check_suite import KeyCheck, KeyRole, MemberCheck, Source, resolves, run_checks, unique
 
@@ -63,3 +64,26 @@ def test_domains_share_the_counts_of_a_key(spark):
     assert {r["check_name"]: r["violations"] for r in done.collect()} == {"small": 1, "rows": 2, "fk": 2, "coverage": 1, "top": 1, "sums": 1}
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "n_group" not in plan.split("Exchange")[-1] and "lambda" not in plan  # two places for three roles, entries compiled
+
+
+def test_a_merged_source_gives_the_checks_of_its_tables(spark):
+    child = [("a", 1), ("a", 2), ("b", -5), ("x", 1), (None, 1), ("hot", 0)] + [("hot", 1)] * 200
+    parent = [("a", 3), ("b", 9), ("b", 9), ("c", 1), ("hot", 200), (None, 0), ("0", 0), ("0", 0)]
+    apart = suite(spark, child, parent)
+    kids = spark.createDataFrame(child, "key string, amount int").selectExpr("*", "1 as n_kid", "0 as n_folk", "amount as kid_sum", "null as folk_total", "amount < 0 as bad")
+    folks = spark.createDataFrame(parent, "key string, amount int").selectExpr("*", "0 as n_kid", "1 as n_folk", "null as kid_sum", "amount as folk_total", "false as bad")
+    by_key = kids.unionByName(folks).groupBy("key").agg(
+        *[F.expr(f"{f}({c}) as {c}") for f, c in (("sum", "n_kid"), ("sum", "n_folk"), ("sum", "kid_sum"), ("max", "folk_total"))], F.expr("count_if(bad) as amounts")
+    )
+    checks = [
+        resolves("fk", "k", "kid", "folk"), resolves("coverage", "k", "folk", "kid"), unique("parent key", "k", "folk"), unique("child key", "k", "kid"),
+        KeyCheck("identity", "k", "if(key is not null and n_folk > 0 and n_kid > 0 and folk_total <> kid_sum, 1L, 0L)"), MemberCheck("member", "k", "folk", "0"),
+        resolves("use", "g", "used", "group"),
+    ]
+    used = KeyRole("used", "g", "if(key = 'a', 'in', 'out')", rows="n_kid")
+    sources = [Source(by_key, roles=[used], counts={"amounts": "amounts"}, merged="k"), Source(spark.sql("select 'in' as g"), {}, [KeyRole("group", "g", "g")])]
+    merged = {r["check_name"]: (r["violations"], r["passed"]) for r in run_checks(sources, checks).collect()}
+    assert merged.pop("use") == (len(child) - 2, False)
+    assert merged == apart
+    with pytest.raises(ValueError, match="merged domain"):
+        run_checks([Source(by_key, merged="k"), Source(by_key, {}, [KeyRole("r", "k", "key")])], [])

@@ -46,6 +46,20 @@ def test_timeline_becomes_a_numbered_log(spark):
     ]
 
 
+def test_events_numbered_in_their_case_are_those_of_the_log(spark):
+    days = [None, "2024-01-02", "2024-01-02", "2024-01-09", None, "2024-03-01"]
+    rows = [(i // 2, *[d(x) if x else None for x in (days[i % 6], days[(i // 3) % 6], days[(i * 5 + 1) % 6])], i % 4 == 0) for i in range(40)]
+    claims = spark.createDataFrame([*rows, (99, None, None, None, False), (98, None, None, None, True)], "k int, coded date, sent date, paid date, won boolean")
+    timeline, closing = {"CODED": (2, "coded"), "SENT": (1, "sent"), "PAID": (2, "paid")}, ("CLOSED", 9, 3)
+    extra = claims.where("won").select("k", F.inline(events.timeline_rows({"WON": (6, "paid")})))
+    want = events.timeline_to_events(claims, "k", timeline, extra=extra, closing=closing)
+    mine = F.concat(F.filter(events.timeline_rows(timeline), lambda e: e["event_date"].isNotNull()), F.when(F.col("won"), events.timeline_rows({"WON": (6, "paid")})).otherwise(F.array()))
+    cases = claims.select("k", mine.alias("e")).groupBy("k").agg(F.flatten(F.collect_list("e")).alias("e"))
+    got = events.number_in_array(cases, "e", closing).select("k", F.inline("log"))
+    columns = ["k", "event_type", "event_date", "event_seq", "event_ts"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
 def test_process_mining(spark):
     v = {r["path"]: (r["claims"], r["share"]) for r in events.path_variants(log(spark), "case_id", ["seq"], "kind").collect()}
     assert v["CODED -> SUBMITTED -> DENIED -> SUBMITTED"] == (1, pytest.approx(1 / 3))
